@@ -26,7 +26,7 @@ def period_stakes(df: DataFrame, period, cap=1.0) -> DataFrame:
     totals = df.groupBy(period).agg(
         F.sum((F.col("kelly_side") > 0).cast("int") + (F.col("kelly_opp") > 0).cast("int")).alias("n_bets"))
     staked = df.join(totals, period, "left").withColumns({
-        f"stake_{s}": F.coalesce(F.least(F.lit(float(cap)), F.try_divide(F.col(f"kelly_{s}"), F.col("n_bets"))), F.lit(0.0))
+        f"stake_{s}": F.when(F.col("n_bets") > 0, F.least(F.lit(float(cap)), F.col(f"kelly_{s}") / F.col("n_bets"))).otherwise(0.0)
         for s in ("side", "opp")})
     over = staked.groupBy(period).agg((F.sum(F.col("stake_side") + F.col("stake_opp")) >= 1).alias("over_bankroll"))
     return staked.withColumn("both_sides", (F.col("kelly_side") > 0) & (F.col("kelly_opp") > 0)).join(over, period, "left")

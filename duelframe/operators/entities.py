@@ -126,27 +126,37 @@ def resolve_entities(canon: DataFrame, aux: DataFrame, manual: DataFrame = None,
     rounds, sizes, state = 0, [], {"map": id_map, "conflicts": conflicts}
 
     def learn(candidates):
-        found = materialize(candidates, "candidates")
-        new, bad = _split(state["map"], found)
-        bad_rows = bad.limit(20).collect()
-        if bad_rows:
+        """One written table per round: the new entries and, marked, every disagreement."""
+        old = state["map"].select(F.col("aux_id").alias("_a"), F.col("canon_id").alias("_c"))
+        found = candidates.groupBy("aux_id").agg(F.min("canon_id").alias("canon_id"), F.max("canon_id").alias("_hi"))
+        joined = found.join(old, F.col("aux_id") == F.col("_a"), "left")
+        clash = (F.col("canon_id") != F.col("_hi")) | F.coalesce(F.col("canon_id") != F.col("_c"), F.lit(False))
+        kind = F.when(clash, F.when(F.col("_a").isNull(), "several").otherwise("known")).when(F.col("_a").isNull(), "new")
+        told = materialize(joined.select("aux_id", "canon_id", "_hi", kind.alias("kind")).where("kind is not null"), "candidates")
+        n_new, n_bad = told.agg(F.count_if(F.col("kind") == "new"), F.count_if(F.col("kind") != "new")).first()
+        if n_bad:
+            bad = told.where("kind <> 'new'").select(
+                "aux_id", F.explode(F.array_distinct(F.array("canon_id", "_hi"))).alias("canon_id"), "kind")
             state["conflicts"] = state["conflicts"].unionByName(bad)
             if on_conflict == "raise":
-                raise CheckFailed(f"ids map to more than one canonical id: {bad_rows}")
-        new = materialize(new, "idmap")
-        n_new = new.count()
+                raise CheckFailed(f"ids map to more than one canonical id: {bad.limit(20).collect()}")
+        new = told.where("kind = 'new'").select("aux_id", "canon_id")
         state["map"] = state["map"].unionByName(new)
         sizes.append(n_new)
         return new, n_new
 
     learn(seed_map(canon_all, aux_all, tol_days, keys))
-    phases = [(materialize(drop_same_day_multi(aux_all, keys), "aux1"), materialize(drop_same_day_multi(canon_all, keys), "canon1"))]
+    phases = [lambda: (drop_same_day_multi(aux_all, keys), drop_same_day_multi(canon_all, keys))]
     if include_multi:
-        phases.append((aux_all, canon_all))
-    for aux_part, canon_part in phases:
-        last = materialize(state["map"], "known")
-        n_last = last.count()
-        state["map"] = last
+        phases.append(lambda: (aux_all, canon_all))
+    for phase in phases:
+        known = materialize(state["map"], "known")
+        state["map"] = known
+        open_ids = aux_all.select(keys.side).join(known, F.col(keys.side) == F.col("aux_id"), "left_anti")
+        if open_ids.isEmpty():
+            break
+        aux_part, canon_part = [materialize(df, "phase") for df in phase()]
+        last, n_last = known, known.count()
         for _ in range(max_iters):
             rounds += 1
             last, n_last = learn(frontier(aux_part, canon_part, _small(last, n_last), tol_days, keys, state["map"]))

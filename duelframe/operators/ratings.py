@@ -3,9 +3,10 @@
 All contests of a period see the ratings from before the period, so one period is one join plus one sum. Every
 (target, alpha) pair is a `cell`, a key column: a whole grid shares one pass over the periods.
 
-Per period only the entities that took part are written (rating before and after). The current rating is the
-last compacted table plus the changes written since; it is compacted every few periods. Everything lives in
-the shared folder, so a lost executor costs one period at most, and no plan grows with the number of periods.
+Per period the entities that took part are written with their rating before and after. A state of up to
+BROADCAST_ROWS rows is written whole each time; a larger one is a compacted table plus the changes since, merged
+every few periods. Everything lives in the shared folder, so a lost executor costs one period at most, and no
+plan grows with the number of periods.
 """
 
 from dataclasses import dataclass
@@ -16,11 +17,13 @@ from ..functions.dates import week_bucket
 from ..functions.odds import expit, logit
 from ..functions.text import _c
 from ..keys import Keys
-from ..session import BROADCAST_ROWS, HOT_ROWS, materialize, new_path
+from ..session import BROADCAST_ROWS, materialize, new_path
 from .aggs import group_stddev, pooled_rate_logit
 from .protocols import BINARY, BINARY_OFFSET, REAL, half_step, rating_hook
 
 STATE_SCHEMA = "cell string, entity string, rating double"
+STEP_SCHEMA = "cell string, entity string, before double, rating double, hit boolean"
+HISTORY_SCHEMA = STEP_SCHEMA + ", period string"
 COMPACT_EVERY = 12
 
 
@@ -72,48 +75,77 @@ def _current(spark, base, log):
     return parts.groupBy("cell", "entity").agg(F.sum("rating").alias("rating"))
 
 
+class _Step:
+    """The contributions of one period; its expressions are built once and serve every period."""
+
+    def __init__(self, hook, small):
+        self._small = small
+        r_side, r_opp = F.coalesce("r_side", F.lit(0.0)), F.coalesce("r_opp", F.lit(0.0))
+        step = hook.delta(F.col("y"), hook.predict(r_side, r_opp, F.col("offset")), F.col("alpha"))
+        self._moves = F.explode(F.array(
+            F.struct(F.col("e_side").alias("entity"), r_side.alias("before"), step.alias("change")),
+            F.struct(F.col("e_opp").alias("entity"), r_opp.alias("before"), (-step).alias("change")))).alias("m")
+
+    def __call__(self, rows, period, now) -> DataFrame:
+        """(cell, entity, before, change, hit) of every side of every contest row."""
+        side = now.selectExpr("cell", "entity AS e_side", "rating AS r_side")
+        opp = now.selectExpr("cell", "entity AS e_opp", "rating AS r_opp")
+        if self._small:
+            side, opp = F.broadcast(side), F.broadcast(opp)
+        batch = rows.where(f"period = '{period}'").join(side, ["cell", "e_side"], "left").join(opp, ["cell", "e_opp"], "left")
+        return batch.select("cell", self._moves).selectExpr("cell", "m.entity", "m.before", "m.change", "true AS hit")
+
+
 def _run(long_rows: DataFrame, hook, state: DataFrame = None) -> tuple:
     """long_rows: row columns plus period, cell, y, alpha, offset, e_side, e_opp. Returns (rows, history, state)."""
     spark = long_rows.sparkSession
-    n_rows, n_periods = long_rows.select(F.count(F.lit(1)), F.count_distinct("period")).first()
-    n_parts = max(1, min(200, -(-n_rows // HOT_ROWS) * 8))
     # Range partitions on (period, row) split a hot period over several tasks and keep the files of a period few.
     tie = F.xxhash64("contest", "e_side", "cell")
-    rows = materialize(long_rows.repartitionByRange(n_parts, F.col("period"), tie), "periods", ["period"])
+    rows = materialize(long_rows.repartitionByRange(F.col("period"), tie), "periods", ["period"])
     rows = rows.withColumn("period", F.col("period").cast("string"))
     periods = [r[0] for r in rows.select("period").distinct().orderBy("period").collect()]  # bounded by the calendar
-    entities = rows.select("cell", F.explode(F.array("e_side", "e_opp")).alias("entity")).where("entity is not null")
-    n_state = entities.distinct().count()
-    small = n_state <= BROADCAST_ROWS
-    base = None if state is None else materialize(state.select("cell", "entity", "rating"), "state")
-    log, history, history_path = [], [], new_path(spark, "history")
-    for i, period in enumerate(periods):
-        now = _current(spark, base, log)
-        side = now.select("cell", F.col("entity").alias("e_side"), F.col("rating").alias("r_side"))
-        opp = now.select("cell", F.col("entity").alias("e_opp"), F.col("rating").alias("r_opp"))
-        if small:
-            side, opp = F.broadcast(side), F.broadcast(opp)
-        batch = rows.where(F.col("period") == period).join(side, ["cell", "e_side"], "left").join(opp, ["cell", "e_opp"], "left")
-        r_side, r_opp = F.coalesce("r_side", F.lit(0.0)), F.coalesce("r_opp", F.lit(0.0))
-        step = hook.delta(F.col("y"), hook.predict(r_side, r_opp, F.col("offset")), F.col("alpha"))
-        moved = batch.select("cell", F.explode(F.array(
-            F.struct(F.col("e_side").alias("entity"), r_side.alias("before"), step.alias("change")),
-            F.struct(F.col("e_opp").alias("entity"), r_opp.alias("before"), (-step).alias("change")),
-        )).alias("m")).select("cell", "m.*").where("entity is not null")
-        done = moved.groupBy("cell", "entity").agg(F.max("before").alias("before"), F.sum("change").alias("rating"))
+    entities = rows.select("cell", F.explode(F.array("e_side", "e_opp")).alias("entity")).where("entity is not null").distinct()
+    start = entities.withColumn("rating", F.lit(0.0))
+    if state is not None:
+        start = _current(spark, start, [state.select("cell", "entity", "rating")])
+    base = materialize(start, "state")
+    small = base.count() <= BROADCAST_ROWS
+    history_path = new_path(spark, "history")
+    steps = _whole_steps if small else _logged_steps
+    final = steps(spark, rows, periods, base, _Step(hook, small), history_path)
+    if not periods:
+        return rows, spark.createDataFrame([], HISTORY_SCHEMA), final
+    hist = spark.read.schema(HISTORY_SCHEMA).parquet(history_path).where("hit")
+    return rows, hist.select("cell", "period", "entity", "before", F.col("rating").alias("after")), final
+
+
+def _sums():
+    return [F.max("before").alias("before"), F.sum("change").alias("change"), F.max("hit").alias("hit")]
+
+
+def _whole_steps(spark, rows, periods, now, step, history_path):
+    """Every period writes the whole state with its ratings before and after; the next one reads only that."""
+    sums = _sums()
+    for period in periods:
+        kept = now.selectExpr("cell", "entity", "rating AS before", "0D AS change", "false AS hit")
+        done = kept.union(step(rows, period, now)).groupBy("cell", "entity").agg(*sums).where("entity IS NOT NULL")
+        path = f"{history_path}/period={period}"
+        done.selectExpr("cell", "entity", "before", "before + change AS rating", "hit").write.parquet(path)
+        now = spark.read.schema(STEP_SCHEMA).parquet(path)
+    return now.select("cell", "entity", "rating")
+
+
+def _logged_steps(spark, rows, periods, base, step, history_path):
+    """Every period writes only the entities that took part; their changes are merged every few periods."""
+    log, sums = [], _sums()
+    for period in periods:
+        done = step(rows, period, _current(spark, base, log)).groupBy("cell", "entity").agg(*sums).where("entity IS NOT NULL")
         path = f"{history_path}/period={period}"
-        done.write.parquet(path)
-        part = spark.read.schema("cell string, entity string, before double, rating double").parquet(path)
-        log.append(part.select("cell", "entity", "rating"))
+        done.selectExpr("cell", "entity", "before", "before + change AS rating", "hit").write.parquet(path)
+        log.append(spark.read.schema(STEP_SCHEMA).parquet(path).selectExpr("cell", "entity", "rating - before AS rating"))
         if len(log) == COMPACT_EVERY:
             base, log = materialize(_current(spark, base, log), "state"), []
-    final = materialize(_current(spark, base, log), "state")
-    if periods:
-        hist = spark.read.schema("cell string, entity string, before double, rating double, period string").parquet(history_path)
-    else:
-        hist = spark.createDataFrame([], "cell string, entity string, before double, rating double, period string")
-    hist = hist.select("cell", "period", "entity", "before", (F.col("before") + F.col("rating")).alias("after"))
-    return rows, hist, final
+    return materialize(_current(spark, base, log), "state")
 
 
 def _with_ratings(rows, hist, hook):
@@ -132,8 +164,7 @@ def rate(df: DataFrame, keys: Keys, targets, alphas, hook, period="date", state=
     long_rows = _cells(df, keys, grid, offset).withColumns({
         "period": period_of(F.col(keys.date), period),
         "e_side": F.col(keys.side).cast("string"), "e_opp": F.col(keys.opp).cast("string")})
-    renamed = long_rows if keys.contest == "contest" else long_rows.withColumnRenamed(keys.contest, "contest")
-    rows, hist, final = _run(renamed, hook, state)
+    rows, hist, final = _run(_plain_contest(long_rows, keys), hook, state)
     features = _with_ratings(rows, hist, hook).select(
         F.col("contest").alias(keys.contest), keys.side, keys.opp, keys.date, "cell", "y", "pred",
         "side_before", "opp_before", "side_after", "opp_after")
@@ -153,39 +184,42 @@ def rating_binary_offset(df, keys=Keys(), targets=(), alphas=0.5, offset="offset
     return rate(df, keys, targets, alphas, BINARY_OFFSET, period, state, offset)
 
 
-def _acc_hook(intercept):
-    # `offset` carries the attempts, y the landed count; the step is 0.5 * alpha * (landed - attempted * p).
-    predict = lambda off, dfn, attempted: attempted * expit(off - dfn + F.lit(float(intercept)))
-    return rating_hook(predict, half_step)
+# `offset` carries (attempted, intercept), y the landed count; the step is 0.5 * alpha * (landed - attempted * p).
+ACCURACY = rating_hook(lambda off, dfn, given: given["attempted"] * expit(off - dfn + given["intercept"]), half_step)
 
 
 def rating_accuracy(df: DataFrame, keys=Keys(), pairs=None, alphas=0.5, period="date") -> RatingResult:
     """Offence and defence ratings from landed/attempted counts of a doubled table; `pairs` = {name: (landed, attempted)}.
 
     Contests of a period are updated as one batch and the pooled-rate intercept is part of every prediction;
-    an unobserved row moves nothing, so its ratings are the last known ones.
+    an unobserved row moves nothing, so its ratings are the last known ones. All pairs share one pass.
     """
-    parts, states, hists = None, None, None
+    entries = []
     for name, (landed, attempted) in pairs.items():
         intercept = pooled_rate_logit(df, [landed], [attempted]).first()[0]
         seen = F.col(landed).isNotNull() & F.col(attempted).isNotNull()
-        single = df.select(*keys.all, F.when(seen, F.col(landed)).cast("double").alias(name),
-                           F.when(seen, F.col(attempted)).cast("double").alias("_n"))
-        long_rows = _cells(single, keys, _grid([name], alphas), "_n").withColumns({
-            "period": period_of(F.col(keys.date), period),
-            "e_side": F.concat(F.lit("off|"), F.col(keys.side).cast("string")),
-            "e_opp": F.concat(F.lit("def|"), F.col(keys.opp).cast("string"))})
-        rows, hist, final = _run(long_rows.withColumnRenamed(keys.contest, "contest"), _acc_hook(intercept))
-        out = _with_ratings(rows, hist, _acc_hook(intercept)).select(
-            F.col("contest").alias(keys.contest), keys.side, keys.opp, keys.date, "cell",
-            F.col("y").alias("landed"), F.col("offset").alias("attempted"),
-            expit(F.col("side_before") - F.col("opp_before") + F.lit(float(intercept))).alias("p_hat"),
-            F.col("side_before").alias("off_before"), F.col("opp_before").alias("opp_def_before"),
-            F.col("side_after").alias("off_after"), F.col("opp_after").alias("opp_def_after"))
-        parts = out if parts is None else parts.unionByName(out)
-        states = final if states is None else states.unionByName(final)
-        hists = hist if hists is None else hists.unionByName(hist)
-    return RatingResult(parts, states, hists)
+        for cell, _, alpha in _grid([name], alphas):
+            entries.append(F.struct(
+                F.lit(cell).alias("cell"), F.when(seen, F.col(landed)).cast("double").alias("y"), F.lit(alpha).alias("alpha"),
+                F.struct(F.when(seen, F.col(attempted)).cast("double").alias("attempted"),
+                         F.lit(intercept).cast("double").alias("intercept")).alias("offset")))
+    long_rows = df.select(*keys.all, F.explode(F.array(*entries)).alias("e")).select(*keys.all, "e.*").withColumns({
+        "period": period_of(F.col(keys.date), period),
+        "e_side": F.concat(F.lit("off|"), F.col(keys.side).cast("string")),
+        "e_opp": F.concat(F.lit("def|"), F.col(keys.opp).cast("string"))})
+    rows, hist, final = _run(_plain_contest(long_rows, keys), ACCURACY)
+    given = F.col("offset")
+    features = _with_ratings(rows, hist, ACCURACY).select(
+        F.col("contest").alias(keys.contest), keys.side, keys.opp, keys.date, "cell",
+        F.col("y").alias("landed"), given["attempted"].alias("attempted"),
+        expit(F.col("side_before") - F.col("opp_before") + given["intercept"]).alias("p_hat"),
+        F.col("side_before").alias("off_before"), F.col("opp_before").alias("opp_def_before"),
+        F.col("side_after").alias("off_after"), F.col("opp_after").alias("opp_def_after"))
+    return RatingResult(features, final, hist)
+
+
+def _plain_contest(rows, keys):
+    return rows if keys.contest == "contest" else rows.withColumnRenamed(keys.contest, "contest")
 
 
 def accuracy_features(result: RatingResult, keys: Keys = Keys()) -> DataFrame:

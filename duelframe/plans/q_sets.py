@@ -41,9 +41,9 @@ def o4_diff(spark, sf):
     return sets.set_difference(_ids(spark, sf, "F"), _ids(spark, sf, "O"))
 
 
-@query("O5_key_intersection", raw_sql("""SELECT a.side, a.x AS x_a, b.x AS x_b FROM (SELECT side, max(cls) AS x FROM raw WHERE flag = 'R' AND side_q > 49 GROUP BY side) a
-JOIN (SELECT side, max(cls) AS x FROM raw WHERE flag = 'A' AND side_q > 49 GROUP BY side) b ON a.side = b.side WHERE a.x <> b.x"""))
+@query("O5_key_intersection", raw_sql("""SELECT a.side, a.x AS x_a, b.x AS x_b FROM (SELECT side, max(cls || event) AS x FROM raw WHERE flag = 'R' GROUP BY side) a
+JOIN (SELECT side, max(cls || event) AS x FROM raw WHERE flag = 'A' GROUP BY side) b ON a.side = b.side WHERE a.x <> b.x"""))
 def o5(spark, sf):
-    df = raw_contests(spark, sf).where("side_q > 49")
-    part = lambda flag: df.where(F.col("flag") == flag).groupBy("side").agg(F.max("cls").alias("x"))
+    df = raw_contests(spark, sf).withColumn("x", F.concat("cls", F.col("event").cast("string")))
+    part = lambda flag: df.where(F.col("flag") == flag).groupBy("side").agg(F.max("x").alias("x"))
     return sets.key_intersection(part("R"), part("A"), "side", "x")

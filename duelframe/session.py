@@ -12,6 +12,8 @@ RUNTIME_CONF = {
     # Lookups keep one row per key on the small side, so splitting the big side of a hot key is exact.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Loops build many small plans; the Python call sites of every expression are not worth a round trip each.
+    "spark.python.sql.dataFrameQueryContext.enabled": "false",
 }
 
 # A side is broadcast by hint only after it was counted and found at or below this.
@@ -40,7 +42,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    """A path nobody uses yet; all paths of one application lie under one folder, which may go when it is done."""
+    return f"{shared_folder(spark)}/duelframe-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
 
 
 def materialize(df: DataFrame, label: str, partition_by=()) -> DataFrame:
