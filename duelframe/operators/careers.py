@@ -96,10 +96,13 @@ def _chunked(df, entity, order, prims, n_chunks) -> DataFrame:
     # Written once: the chunk numbers must not change between the two uses below.
     tagged = materialize(ranged.withColumn("_chunk", F.spark_partition_id()), "chunks")
     totals = tagged.groupBy(*entity, "_chunk").agg(*[_total(s, order).alias(n) for n, s in prims.items()])
-    carried = totals.select(*entity, "_chunk", *[_carry(s, n, entity).alias("c" + n) for n, s in prims.items()])
+    names = {e: f"_e{i}" for i, e in enumerate(entity)}
+    carried = totals.select(*[F.col(e).alias(n) for e, n in names.items()], F.col("_chunk").alias("_at"),
+                            *[_carry(s, n, entity).alias("c" + n) for n, s in prims.items()])
     local = tagged.select("*", *[_local(s, [*entity, "_chunk"], order).alias("l" + n) for n, s in prims.items()])
     # At most one row per chunk border plus one per hot entity, hence small by construction.
-    joined = local.join(F.broadcast(carried), [*entity, "_chunk"])
+    same = [F.col("_chunk") == F.col("_at"), *[F.col(e).eqNullSafe(F.col(n)) for e, n in names.items()]]
+    joined = local.join(F.broadcast(carried), same)
     return joined.select(*df.columns, *[_combine(s, F.col("l" + n), F.col("c" + n)).alias(n) for n, s in prims.items()])
 
 

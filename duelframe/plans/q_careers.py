@@ -12,25 +12,25 @@ W = "(PARTITION BY side ORDER BY d, contest)"
 BEFORE = "(PARTITION BY side ORDER BY d, contest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 
 
-def _run(name, spec, sql, out=lambda x: x, value=None):
+def _run(name, spec, sql, out=lambda x: x):
     """Register one running feature over all doubled contests."""
     @query(name, dbl_sql(f"SELECT contest, side, {sql} AS x FROM (SELECT *, CASE WHEN flag <> 'R' THEN side_q END AS q, substr(cls, 1, 1) AS k FROM dbl)"))
     def run(spark, sf):
         df = contests(spark, sf).withColumns({"q": F.expr("CASE WHEN flag <> 'R' THEN side_q END"), "k": F.substring("cls", 1, 1)})
-        ran = c.with_running(df.select("contest", "side", "d", "flag", "q", "k"), "side", ORDER, {"x": spec})
+        ran = c.with_running(df.select("contest", "side", "d", "flag", "q", "k"), "side", ORDER, {"x": spec()})
         return ran.select("contest", "side", out(F.col("x")).alias("x"))
     return run
 
 
-_run("W1_n_prior_contests", c.n_prior_contests(), f"row_number() OVER {W} - 1")
-_run("W2_running_flag_count", c.running_flag_count(F.expr("flag = 'R'")), f"CAST(sum(CAST(flag = 'R' AS INT)) OVER {W} AS BIGINT)")
-_run("W3_running_count", c.running_count(), f"count(*) OVER {W}")
-_run("W6_prior_total", c.prior_total("q"),
+_run("W1_n_prior_contests", lambda: c.n_prior_contests(), f"row_number() OVER {W} - 1")
+_run("W2_running_flag_count", lambda: c.running_flag_count(F.expr("flag = 'R'")), f"CAST(sum(CAST(flag = 'R' AS INT)) OVER {W} AS BIGINT)")
+_run("W3_running_count", lambda: c.running_count(), f"count(*) OVER {W}")
+_run("W6_prior_total", lambda: c.prior_total("q"),
      f"CASE WHEN lag(q) OVER {W} IS NULL THEN 0.0 ELSE CAST(sum(q) OVER {BEFORE} AS DOUBLE) END", lambda x: x.cast("double"))
-_run("W7_running_min", c.running_min("q"), f"CASE WHEN q IS NOT NULL THEN min(q) OVER {W} END")
-_run("W7_running_max", c.running_max("q"), f"CASE WHEN q IS NOT NULL THEN max(q) OVER {W} END")
-_run("W8_prev_value", c.prev_value("k"), f"lag(k) OVER {W}")
-_run("W12_ffill", c.ffill("q", 0.0), f"coalesce(last_value(q IGNORE NULLS) OVER (PARTITION BY side ORDER BY d, contest ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0.0)")
+_run("W7_running_min", lambda: c.running_min("q"), f"CASE WHEN q IS NOT NULL THEN min(q) OVER {W} END")
+_run("W7_running_max", lambda: c.running_max("q"), f"CASE WHEN q IS NOT NULL THEN max(q) OVER {W} END")
+_run("W8_prev_value", lambda: c.prev_value("k"), f"lag(k) OVER {W}")
+_run("W12_ffill", lambda: c.ffill("q", 0.0), f"coalesce(last_value(q IGNORE NULLS) OVER (PARTITION BY side ORDER BY d, contest ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0.0)")
 
 
 @query("W4_days_since_first", dbl_sql("SELECT contest, side, date_diff('day', min(d) OVER (PARTITION BY side), d) AS days_since_first FROM dbl"))
