@@ -11,8 +11,8 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..keys import Keys
 from ..functions.text import _c
+from ..keys import Keys
 from ..session import HOT_ROWS, materialize
 
 
@@ -106,11 +106,12 @@ def _chunked(df, entity, order, prims, n_chunks) -> DataFrame:
     return joined.select(*df.columns, *[_combine(s, F.col("l" + n), F.col("c" + n)).alias(n) for n, s in prims.items()])
 
 
-def with_running(df: DataFrame, entity, order, specs: dict, hot_rows=HOT_ROWS) -> DataFrame:
+def with_running(df: DataFrame, entity, order, specs: dict, hot_rows=HOT_ROWS, sized_by: DataFrame = None) -> DataFrame:
     """Add one column per `Run`. `order` names ascending columns that should end in a unique key.
 
-    `hot_rows=None` skips the size check where groups are known to be small. Rows whose entity is null
-    form one group, as in any grouping; drop them first where they must not.
+    Group sizes are counted first, on `sized_by` where a cheaper table with at least the same rows exists;
+    `hot_rows=None` skips the count where groups are known to be small. Rows whose entity is null form one
+    group, as in any grouping; drop them first where they must not.
     """
     entity = [entity] if isinstance(entity, str) else list(entity)
     order = [order] if isinstance(order, str) else list(order)
@@ -124,7 +125,7 @@ def with_running(df: DataFrame, entity, order, specs: dict, hot_rows=HOT_ROWS) -
             prims[where[(name, part)]] = prim
     hot, hot_total = None, 0
     if hot_rows is not None:
-        hot = df.groupBy(*entity).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+        hot = (df if sized_by is None else sized_by).groupBy(*entity).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
         hot_total = hot.agg(F.sum("_n")).first()[0] or 0
     if not hot_total:
         out = df.select("*", *[_local(s, entity, order).alias(n) for n, s in prims.items()])
@@ -216,7 +217,7 @@ def career_table(df: DataFrame, keys: Keys = Keys(), flag="flag", duration="dura
         "min_cls": running_min(cls),
         "max_cls": running_max(cls),
         "prev_cls": prev_value(cls),
-    }, hot_rows)
+    }, hot_rows, sized_by=base.where(F.col(keys.side).isNotNull()))
     features = ran.select(
         keys.contest, keys.side, "n_career", "n_flagged",
         F.datediff(keys.date, "_first").alias("days_since_first"),

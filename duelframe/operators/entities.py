@@ -14,7 +14,7 @@ from ..session import BROADCAST_ROWS, materialize
 from .aggs import dedupe_by_key
 from .checks import CheckFailed
 from .joins import left_lookup, tolerant_date_join
-from .rows import overwrite_values, swap_sides
+from .rows import both_orientations, overwrite_values
 
 MAP_SCHEMA = "aux_id string, canon_id string"
 
@@ -36,7 +36,7 @@ def contest_edges(df: DataFrame, keys: Keys = Keys(), replacements_df: DataFrame
     cols = [keys.side, keys.opp, keys.date, "side_name", "opp_name"]
     base = df.select(*cols).na.drop(how="any", subset=cols[:3])
     one = dedupe_by_key(base.withColumn("contest", contest_key(keys.side, keys.opp, keys.date)), ["contest"], cols[:2])
-    both = one.unionByName(swap_sides(one, {keys.side: keys.opp, "side_name": "opp_name"}))
+    both = both_orientations(one, {keys.side: keys.opp, "side_name": "opp_name"})
     return clean_names(both, ["side_name", "opp_name"], replacements_df)
 
 

@@ -9,10 +9,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.text import _c
 from ..keys import Keys
 from .aggs import dedupe_by_key, first_nonnull, last_nonnull
-from .rows import flip_outcome, swap_sides
+from .rows import both_orientations
 
 
 def with_suffix(df: DataFrame, suffix, keep=()) -> DataFrame:
@@ -24,20 +23,31 @@ def _same(left_cols, right_cols, null_safe=False):
     return [a.eqNullSafe(b) if null_safe else a == b for a, b in pairs]
 
 
-def left_lookup(df: DataFrame, right: DataFrame, left_cols, right_cols, null_safe=False) -> DataFrame:
-    """Left join that adds the other columns of `right`; `right` has one row per key."""
+# Pieces over which rows without a key are spread in an outer join.
+NULL_SPREAD = 512
+
+
+def left_lookup(df: DataFrame, right: DataFrame, left_cols, right_cols, null_safe=False, spread_nulls=False) -> DataFrame:
+    """Left join that adds the other columns of `right`; `right` has one row per key.
+
+    `spread_nulls` is for keys that are null on many rows: those rows match nothing, so they are sent to many
+    tasks instead of one.
+    """
     renamed = right.select(*[F.col(c).alias(f"_r{right_cols.index(c)}" if c in right_cols else c) for c in right.columns])
     keys = [f"_r{i}" for i in range(len(right_cols))]
-    return df.join(renamed, _same(left_cols, keys, null_safe), "left").drop(*keys)
+    if not spread_nulls:
+        return df.join(renamed, _same(left_cols, keys, null_safe), "left").drop(*keys)
+    missing = reduce(lambda x, y: x | y, [F.col(c).isNull() for c in left_cols])
+    piece = F.when(missing, F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(NULL_SPREAD)) + 1).otherwise(F.lit(0))
+    spread = df.withColumn("_piece", piece.cast("int"))
+    renamed = renamed.withColumn("_at", F.lit(0))
+    on = [*_same(left_cols, keys), F.col("_piece") == F.col("_at")]
+    return spread.join(renamed, on, "left").drop(*keys, "_piece", "_at")
 
 
 def double_contests(df: DataFrame, keys: Keys, pairs: dict, outcome=None) -> DataFrame:
     """One row per contest key, then its swapped copy: exactly two rows per contest."""
-    one = dedupe_by_key(df, [keys.contest], [keys.side, keys.opp])
-    swapped = swap_sides(one, pairs)
-    if outcome is not None:
-        swapped = swapped.withColumn(outcome, flip_outcome(outcome))
-    return one.unionByName(swapped)
+    return both_orientations(dedupe_by_key(df, [keys.contest], [keys.side, keys.opp]), pairs, outcome)
 
 
 def attach_both_sides(df: DataFrame, right: DataFrame, on, keys: Keys = Keys(), suffix="_opp", null_safe=False) -> DataFrame:
@@ -58,9 +68,7 @@ def three_source_join(canon: DataFrame, sources, upcoming: DataFrame = None, key
     for aux, contest_map, suffix in sources:
         ids = [c + suffix for c in base]
         out = left_lookup(out, contest_map.select(*base, *ids), base, base)
-        aux_cols = with_suffix(aux, suffix)
-        out = out.join(aux_cols.withColumnsRenamed({c: "_x" + c for c in ids}),
-                       _same(ids, ["_x" + c for c in ids]), "left").drop(*["_x" + c for c in ids])
+        out = left_lookup(out, with_suffix(aux, suffix), ids, ids, spread_nulls=True)  # unmapped contests have no ids
     out = out.withColumn("is_upcoming", F.lit(False))
     if upcoming is not None:
         out = out.unionByName(upcoming.withColumn("is_upcoming", F.lit(True)), allowMissingColumns=True)
@@ -101,7 +109,7 @@ def jitter_date_join(left: DataFrame, right: DataFrame, on, date, tol_days, how=
 def orientation_join(df: DataFrame, odds: DataFrame, keys: Keys, pairs: dict) -> DataFrame:
     """Prices quoted in either orientation reach both rows of a contest; no base row is lost."""
     on = [keys.side, keys.opp, keys.date]
-    both = odds.unionByName(swap_sides(odds, {**pairs, keys.side: keys.opp}))
+    both = both_orientations(odds, {**pairs, keys.side: keys.opp})
     one = dedupe_by_key(both, on, [])
     return left_lookup(df, one, on, on)
 

@@ -18,6 +18,21 @@ def swap_sides(df: DataFrame, pairs: dict) -> DataFrame:
     return df.select(*[F.col(other.get(c, c)).alias(c) for c in df.columns])
 
 
+def both_orientations(df: DataFrame, pairs: dict, outcome=None) -> DataFrame:
+    """Every row and its swapped copy from one pass: the input is not computed twice.
+
+    Columns outside the pairs stay outside the generated part, so filters on them still reach the scan.
+    """
+    other = {**pairs, **{v: k for k, v in pairs.items()}}
+    moving = [c for c in df.columns if c in other]
+    flipped = [] if outcome is None else [outcome]
+    own = F.struct(*[F.col(c).alias(c) for c in moving + flipped])
+    swapped = F.struct(*[F.col(other[c]).alias(c) for c in moving], *[flip_outcome(c).alias(c) for c in flipped])
+    still = [c for c in df.columns if c not in moving + flipped]
+    out = df.select(*still, F.explode(F.array(own, swapped)).alias("_r"))
+    return out.select(*[F.col(c) if c in still else F.col(f"_r.{c}").alias(c) for c in df.columns])
+
+
 def flip_outcome(c, kind="wld") -> Column:
     c = _c(c)
     if kind == "wld":

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import bets as B, models as M, validate as V
 from ..operators.protocols import metric_columns, model_protocol
+from ..session import materialize
 from .q_models import FEATS, modelled
 from .registry import query, r
 from .standin import day, priced, priced_sql, rd
@@ -146,7 +147,8 @@ def b3(spark, sf):
 
 
 def _returns(spark, sf):
-    return B.period_returns(_settled(spark, sf), "d")
+    """Written, as the curve reads this small table more than once."""
+    return materialize(B.period_returns(_settled(spark, sf), "d"), "returns")
 
 
 @query("B4_period_returns", priced_sql(", " + _BETS + f"SELECT CAST(d AS VARCHAR) AS d, {r('ret', 8)} AS ret, {r('staked', 8)} AS staked, n FROM ret"))
@@ -164,7 +166,7 @@ def b5(spark, sf):
 FROM (SELECT ln(portfolio) - lag(ln(portfolio)) OVER (ORDER BY d) AS x FROM eq)"""))
 def b6(spark, sf):
     returns = _returns(spark, sf)
-    stats = B.growth_stats(B.equity_curve(returns, "d"), "d").withColumn("sharpe", B.sharpe(returns).scalar())
+    stats = B.growth_stats(materialize(B.equity_curve(returns, "d"), "curve"), "d").withColumn("sharpe", B.sharpe(returns).scalar())
     return stats.select(rd("geometric_growth").alias("geometric_growth"), rd("log_return_sd").alias("log_return_sd"), rd("t_stat", 4).alias("t_stat"), "n", rd("sharpe", 4).alias("sharpe"))
 
 
