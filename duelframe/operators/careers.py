@@ -234,7 +234,7 @@ def career_table(df: DataFrame, keys: Keys = Keys(), flag="flag", duration="dura
     return features.unionByName(imputed)
 
 
-def batch_counters(df: DataFrame, keys: Keys = Keys(), flag=None, hot_rows=HOT_ROWS) -> DataFrame:
+def batch_counters(df: DataFrame, keys: Keys = Keys(), flag=None, hot_rows=HOT_ROWS, sized_by: DataFrame = None) -> DataFrame:
     """Per (entity, date): contest days strictly before the date, all and flagged; a day counts once."""
     marked = df.select(F.col(keys.side).alias("entity"), F.col(keys.date),
                        (F.lit(0) if flag is None else F.coalesce(_c(flag).cast("int"), F.lit(0))).alias("_f"))
@@ -242,7 +242,7 @@ def batch_counters(df: DataFrame, keys: Keys = Keys(), flag=None, hot_rows=HOT_R
     return with_running(days, "entity", keys.date, {
         "n_before": Run("count", inclusive=False, default=0),
         "n_flagged_before": Run("sum", "_f", inclusive=False, default=0),
-    }, hot_rows).drop("_f")
+    }, hot_rows, sized_by).drop("_f")
 
 
 def position_in_block(df: DataFrame, group, order, size, hot_rows=HOT_ROWS) -> DataFrame:

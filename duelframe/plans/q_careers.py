@@ -6,7 +6,7 @@ from ..operators import careers as c
 from ..operators.joins import attach_both_sides
 from ..session import materialize
 from .registry import query, r
-from .standin import K, contests, day, dbl_sql, raw_contests, raw_sql, rd, table
+from .standin import K, contests, day, entity_rows, dbl_sql, raw_contests, raw_sql, rd, table
 
 ORDER = ["d", "contest"]
 W = "(PARTITION BY side ORDER BY d, contest)"
@@ -18,7 +18,7 @@ def _run(name, spec, sql, out=lambda x: x):
     @query(name, dbl_sql(f"SELECT contest, side, {sql} AS x FROM (SELECT *, CASE WHEN flag <> 'R' THEN side_q END AS q, substr(cls, 1, 1) AS k FROM dbl)"))
     def run(spark, sf):
         df = contests(spark, sf).withColumns({"q": F.expr("CASE WHEN flag <> 'R' THEN side_q END"), "k": F.substring("cls", 1, 1)})
-        ran = c.with_running(df.select("contest", "side", "d", "flag", "q", "k"), "side", ORDER, {"x": spec()})
+        ran = c.with_running(df.select("contest", "side", "d", "flag", "q", "k"), "side", ORDER, {"x": spec()}, sized_by=entity_rows(spark, sf))
         return ran.select("contest", "side", out(F.col("x")).alias("x"))
     return run
 
@@ -36,12 +36,12 @@ _run("W12_ffill", lambda: c.ffill("q", 0.0), f"coalesce(last_value(q IGNORE NULL
 
 @query("W4_days_since_first", dbl_sql("SELECT contest, side, date_diff('day', min(d) OVER (PARTITION BY side), d) AS days_since_first FROM dbl"))
 def w4(spark, sf):
-    return c.days_since_first(contests(spark, sf).select("contest", "side", "d"), "side", "d", ORDER).drop("d")
+    return c.days_since_first(contests(spark, sf).select("contest", "side", "d"), "side", "d", ORDER, sized_by=entity_rows(spark, sf)).drop("d")
 
 
 @query("W5_days_since_prev", dbl_sql(f"SELECT contest, side, date_diff('day', lag(d) OVER {W}, d) AS days_since_prev FROM dbl"))
 def w5(spark, sf):
-    return c.days_since_prev(contests(spark, sf).select("contest", "side", "d"), "side", "d", ORDER).drop("d")
+    return c.days_since_prev(contests(spark, sf).select("contest", "side", "d"), "side", "d", ORDER, sized_by=entity_rows(spark, sf)).drop("d")
 
 
 _HIDDEN = "(SELECT * REPLACE (CASE WHEN method = 'F' AND side_q = 1 THEN NULL ELSE side END AS side, CASE WHEN method = 'F' AND opp_q = 1 THEN NULL ELSE opp END AS opp) FROM dbl)"
@@ -73,7 +73,7 @@ def w9(spark, sf):
 
 @query("W10_capped_recency", dbl_sql(f"SELECT contest, side, CASE WHEN x IS NOT NULL THEN least(x, 7) END AS capped FROM (SELECT *, date_diff('day', lag(d) OVER {W}, d) AS x FROM dbl)"))
 def w10(spark, sf):
-    df = c.days_since_prev(contests(spark, sf).select("contest", "side", "d"), "side", "d", ORDER)
+    df = c.days_since_prev(contests(spark, sf).select("contest", "side", "d"), "side", "d", ORDER, sized_by=entity_rows(spark, sf))
     return df.select("contest", "side", c.capped_recency("days_since_prev", 7).alias("capped"))
 
 
@@ -82,7 +82,7 @@ count(*) OVER w AS n_before, CAST(coalesce(sum(f) OVER w, 0) AS BIGINT) AS n_fla
 FROM (SELECT side, d, max(CAST(flag = 'R' AS INT)) AS f FROM dbl GROUP BY ALL)
 WINDOW w AS (PARTITION BY side ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""))
 def w11(spark, sf):
-    return c.batch_counters(contests(spark, sf), K, F.col("flag") == "R").withColumn("d", day("d"))
+    return c.batch_counters(contests(spark, sf), K, F.col("flag") == "R", sized_by=entity_rows(spark, sf, "entity")).withColumn("d", day("d"))
 
 
 @query("W13_team_running_count", dbl_sql("""SELECT contest, side, s_nationkey AS team,

@@ -62,6 +62,12 @@ def contests(spark, sf_dir) -> DataFrame:
     return double_contests(raw_contests(spark, sf_dir), K, PAIRS, outcome="res")
 
 
+def entity_rows(spark, sf_dir, name="side") -> DataFrame:
+    """At least as many rows per supplier as the doubled contests have: a line meets the one before and the one after."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias(name))
+    return lines.unionAll(lines)
+
+
 def with_outcome(df) -> DataFrame:
     return df.withColumn("y", F.when(F.col("res") == "W", 1).when(F.col("res") == "L", 0))
 
