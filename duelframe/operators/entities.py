@@ -213,11 +213,13 @@ def split_key_pairs(config: dict) -> dict:
     return config
 
 
-# Presets of the three pairings: tolerance in days and whether same-day contests take part.
+# Presets of the source pairings: tolerances in days and whether same-day contests take part. Snapshots carry
+# start times that may lie a day off; their rows are first spread by `jitter_date_join`'s days, hence tolerance 0.
 PRESETS = split_key_pairs({
-    "stats_to_history": {"suffixes": ("_ufc", "_espn"), "id_tol": 1, "join_tol": 1, "include_multi": True},
-    "prices_to_stats": {"suffixes": ("_bfo", "_ufc"), "id_tol": 0, "join_tol": 0, "include_multi": True},
-    "prices_to_history": {"suffixes": ("_bfo", "_espn"), "id_tol": 1, "join_tol": 1, "include_multi": False},
+    "stats_to_history": {"suffixes": ("_stats", "_history"), "id_tol": 1, "join_tol": 1, "include_multi": True},
+    "prices_to_stats": {"suffixes": ("_prices", "_stats"), "id_tol": 0, "join_tol": 0, "include_multi": True},
+    "prices_to_history": {"suffixes": ("_prices", "_history"), "id_tol": 1, "join_tol": 1, "include_multi": False},
+    "snapshots_to_history": {"suffixes": ("_snapshots", "_history"), "id_tol": 0, "join_tol": 0, "include_multi": True},
 })
 
 
