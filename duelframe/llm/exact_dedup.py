@@ -77,9 +77,13 @@ def _merge(table: pa.Table, rows: range, ids: list, counts: list) -> list[tuple[
     return [tuple(chain[body]) for body in sorted(chain)]
 
 
+def _set(table: pa.Table, name: str, values: list) -> pa.Table:
+    field = table.schema.field(name)
+    return table.set_column(table.schema.get_field_index(name), field, pa.array(values, field.type))
+
+
 def _emit(table: pa.Table, winners: list[tuple[int, int]]) -> pa.Table:
-    kept = table.take(pa.array([w[0] for w in winners], pa.int64()))
-    return kept.set_column(kept.schema.get_field_index("copies"), "copies", pa.array([w[1] for w in winners], pa.int64()))
+    return _set(table.take(pa.array([w[0] for w in winners], pa.int64())), "copies", [w[1] for w in winners])
 
 
 def _combine(batches):
@@ -147,8 +151,7 @@ def _closed(table: pa.Table, last: bool):
 def _numbered(table, winners, chain):
     if not winners:
         return []
-    kept = _emit(table, winners)
-    return kept.set_column(kept.schema.get_field_index("chain"), "chain", pa.array(chain, pa.int32())).combine_chunks().to_batches()
+    return _set(_emit(table, winners), "chain", chain).combine_chunks().to_batches()
 
 
 def _owners(docs, id_col, text_col, bits, depth, whole_rows):
