@@ -1,8 +1,9 @@
 """One registered query for each operator, over its whole table, with a SQL twin where SQL can express it."""
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, near_dedup, sentencepiece_codec
+from . import exact_dedup, language_id, mixing, near_dedup, sentencepiece_codec
 from .common import documents
 
 QUERIES, SQL = {}, {}
@@ -57,3 +58,17 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(documents(spark, sf_dir))
+
+
+@_query
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir))
+
+
+@_query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+if corpus_pipeline.ORACLE_SQL is not None:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
