@@ -3,7 +3,7 @@
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, mixing, near_dedup, sentencepiece_codec, token_counts, topk_search
+from . import exact_dedup, language_id, license_scan, mixing, near_dedup, preferences, secret_scan, sentencepiece_codec, token_counts, topk_search
 from .common import documents, settle
 
 QUERIES, SQL = {}, {}
@@ -87,6 +87,22 @@ FROM scored QUALIFY rank <= 10
 """
 
 
+@_query
+def op2_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = preferences.pairs_from_conversations(settle(spark).read.parquet(f"{sf_dir}/conversations.parquet"))
+    return preferences.format_preferences(turns)
+
+
+@_query
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir))
+
+
+@_query
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(documents(spark, sf_dir))
+
+
 @_query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
