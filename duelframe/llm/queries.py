@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import exact_dedup, language_id, license_scan, mixing, near_dedup, preferences, secret_scan, sentencepiece_codec, token_counts, topk_search
 from .common import documents, settle
@@ -90,7 +91,40 @@ FROM scored QUALIFY rank <= 10
 @_query
 def op2_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = preferences.pairs_from_conversations(settle(spark).read.parquet(f"{sf_dir}/conversations.parquet"))
-    return preferences.format_preferences(turns)
+    found = preferences.format_preferences(turns)
+    joined = {m: F.array_join(F.transform(m, lambda s: F.concat(s["start"], F.lit(":"), s["end"])), ",") for m in ("chosen_mask", "rejected_mask")}
+    return found.withColumns(joined)
+
+
+SQL["op2_preference_format"] = """
+WITH base AS (SELECT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+replies AS (SELECT conv_id, max(turn) AS last_turn, arg_max(text, turn) AS text FROM base WHERE role = 'assistant' GROUP BY conv_id),
+swap AS (SELECT a.conv_id, a.last_turn, b.text AS other_text FROM replies a JOIN replies b ON b.conv_id = a.conv_id + 1),
+turns AS (
+  SELECT conv_id AS pair_id, true AS side, turn, role, text FROM base
+  UNION ALL SELECT conv_id, false, turn, role, CASE WHEN role = 'assistant' AND turn = last_turn THEN other_text ELSE text END
+  FROM base JOIN swap USING (conv_id)),
+numbered AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY pair_id, side ORDER BY turn, role, text) AS k,
+    '<|im_start|>' || coalesce(role, 'unknown') || chr(10) AS head, head || coalesce(text, '') || '<|im_end|>' || chr(10) AS line FROM turns),
+others AS (
+  SELECT coalesce(c.pair_id, r.pair_id) AS pair_id, min(coalesce(c.k, r.k)) AS k
+  FROM (SELECT * FROM numbered WHERE side) c FULL JOIN (SELECT * FROM numbered WHERE NOT side) r ON c.pair_id = r.pair_id AND c.k = r.k
+  WHERE c.k IS NULL OR r.k IS NULL OR c.role IS DISTINCT FROM r.role OR c.text IS DISTINCT FROM r.text GROUP BY 1),
+sizes AS (SELECT pair_id, count(*) FILTER (side) AS c, count(*) FILTER (NOT side) AS r FROM numbered GROUP BY 1),
+cut AS MATERIALIZED (
+  SELECT pair_id, c, r, CAST(CASE WHEN c = 0 OR r = 0 THEN 0 ELSE coalesce(k - 1, c) END AS INTEGER) AS n FROM sizes LEFT JOIN others USING (pair_id)),
+laid AS (
+  SELECT numbered.*, n, k > n AS rest, sum(CASE WHEN k > n THEN length(line) ELSE 0 END) OVER (PARTITION BY pair_id, side ORDER BY k) AS stop
+  FROM numbered JOIN cut USING (pair_id)),
+sides AS (
+  SELECT pair_id, side, coalesce(string_agg(line, '' ORDER BY k) FILTER (NOT rest), '') AS prompt, coalesce(string_agg(line, '' ORDER BY k) FILTER (rest), '') AS completion,
+    coalesce(string_agg((stop - length(line) + length(head)) || ':' || (stop - length('<|im_end|>') - 1), ',' ORDER BY k) FILTER (rest AND role = 'assistant'), '') AS mask
+  FROM laid GROUP BY 1, 2)
+SELECT cut.pair_id, n AS n_prompt_turns, c > 0 AND r > 0 AND n = c AND n = r AS tied, coalesce(x.prompt, '') AS prompt,
+  x.completion AS chosen, y.completion AS rejected, x.mask AS chosen_mask, y.mask AS rejected_mask
+FROM cut LEFT JOIN (SELECT * FROM sides WHERE side) x ON x.pair_id = cut.pair_id LEFT JOIN (SELECT * FROM sides WHERE NOT side) y ON y.pair_id = cut.pair_id
+"""
 
 
 @_query
@@ -98,6 +132,25 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents(spark, sf_dir))
 
 
+SQL["op3_license_scan"] = r"""
+WITH templates(license, body) AS (VALUES %s),
+template_words AS (SELECT license, list_filter(regexp_split_to_array(lower(body), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM templates),
+template_shingles AS (
+  SELECT license, list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS t FROM template_words WHERE len(w) >= 5),
+wanted AS (SELECT license, len(t) AS m, unnest(t) AS s FROM template_shingles),
+words AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+shingles AS (
+  SELECT doc_id, unnest(range(0, len(w) - 4)) AS pos, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s
+  FROM words WHERE len(w) >= 5),
+windows AS (
+  SELECT doc_id, license, m, s, unnest(range(greatest(0, pos - m + 1), pos + 1)) AS first_at FROM shingles JOIN wanted USING (s)),
+found AS (
+  SELECT doc_id, license, first_at, count(DISTINCT s) / m AS containment FROM windows GROUP BY doc_id, license, first_at, m HAVING count(DISTINCT s) >= 0.8 * m - 1e-9)
+SELECT doc_id, license, max(containment) AS containment, CAST(arg_max(first_at, containment * 1e9 - first_at / 1e6) AS INTEGER) AS first_word
+FROM found GROUP BY doc_id, license
+""" % ", ".join(f"('{name}', '{text}')" for name, text in license_scan.TEMPLATES.items())
+
+
 @_query
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(documents(spark, sf_dir))

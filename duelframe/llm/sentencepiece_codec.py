@@ -10,8 +10,10 @@ space; repeated rows give repeated results; an empty table gives an empty result
 
 import re
 from array import array
+from typing import Iterator
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -102,8 +104,8 @@ def decode_column(coded: DataFrame, pieces: Pieces, ids_col="ids", to="text") ->
         raise ValueError(f"column {to} is there already")
     shared = settle(coded.sparkSession).sparkContext.broadcast(pieces)
 
-    def run(parts):
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
-            yield part.map(lambda ids: None if ids is None else decode(shared.value, ids))
+            yield pd.Series([None if ids is None else decode(shared.value, ids) for ids in part], dtype=object)
 
     return coded.withColumn(to, F.pandas_udf(run, "string")(F.col(ids_col)))
