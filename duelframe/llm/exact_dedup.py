@@ -39,20 +39,19 @@ def _key(text, bits):
 
 def grow_directory(keys: DataFrame, bits: int, bucket_rows: int) -> tuple[DataFrame, int]:
     """The buckets and the depth they started from. Only full buckets are counted again when the directory doubles."""
-    spark = keys.sparkSession
-    distinct = materialize(keys.select("key").distinct(), "dedup-distinct")
+    distinct = keys.select("key").distinct()
     start = min(bits, max(0, distinct.count() // bucket_rows).bit_length())
-    done, depth = None, start
-    open_keys = distinct
+    done, depth, open_keys = None, start, distinct
     while True:
         prefix = F.shiftright("key", bits - depth)
-        sizes = materialize(open_keys.groupBy(prefix.alias("prefix")).agg(F.count("*").alias("keys")).withColumn("depth", F.lit(depth)), "dedup-slots")
+        sizes = open_keys.groupBy(prefix.alias("prefix")).agg(F.count("*").alias("keys")).withColumn("depth", F.lit(depth))
+        sizes = materialize(sizes, "dedup-slots")
         fits = sizes if depth >= bits else sizes.filter(F.col("keys") <= bucket_rows)
         done = fits if done is None else done.unionByName(fits)
         full = sizes.filter(F.col("keys") > bucket_rows)
         if depth >= bits or full.isEmpty():
-            return materialize(done.select("prefix", "depth", "keys"), "dedup-directory"), start
-        open_keys = materialize(open_keys.withColumn("prefix", prefix).join(full.select("prefix"), "prefix", "left_semi").select("key"), "dedup-overfull")
+            return done.select("prefix", "depth", "keys"), start
+        open_keys = open_keys.withColumn("prefix", prefix).join(full.select("prefix"), "prefix", "left_semi").select("key")
         depth += 1
 
 
