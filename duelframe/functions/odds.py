@@ -147,9 +147,10 @@ def signed_inverse_time(win, t, f="id") -> Column:
 
 def contest_duration(arr, r, secs) -> Column:
     """Seconds: full rounds before the last one plus the time in the last one; 5-minute rounds without a format."""
-    before = F.aggregate(F.slice(_c(arr), F.lit(1), F.greatest(_c(r) - 1, F.lit(0))), F.lit(0), lambda acc, x: acc + x)
-    fallback = F.when(_c(secs).isNull(), _c(r) * ROUND_SECONDS).otherwise((_c(r) - 1) * ROUND_SECONDS + _c(secs))
-    return F.coalesce(before * 60 + _c(secs), fallback)
+    before = F.aggregate(F.slice(_c(arr), F.lit(1), F.greatest(_c(r) - 1, F.lit(0))), F.lit(0).cast("long"), lambda acc, x: acc + x)
+    r, secs = _c(r).cast("long"), _c(secs).cast("long")
+    fallback = F.when(secs.isNull(), r * ROUND_SECONDS).otherwise((r - 1) * ROUND_SECONDS + secs)
+    return F.coalesce(before * 60 + secs, fallback)
 
 
 def outcome_targets(result, method) -> Column:

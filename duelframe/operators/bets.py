@@ -14,6 +14,8 @@ def kelly_fraction(p, dec_odds) -> Column:
 
 
 def with_kelly(df: DataFrame, p="y_pred", side_odds="side_odds", opp_odds="opp_odds") -> DataFrame:
+    """Shares of both sides; a contest that lacks either price takes no part, as it cannot be sized against the others."""
+    df = df.where(F.col(side_odds).isNotNull() & F.col(opp_odds).isNotNull())
     return df.withColumns({"kelly_side": kelly_fraction(p, side_odds), "kelly_opp": kelly_fraction(1 - _c(p), opp_odds)})
 
 

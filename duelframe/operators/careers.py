@@ -225,11 +225,12 @@ def career_table(df: DataFrame, keys: Keys = Keys(), flag="flag", duration="dura
         "total_duration", "min_cls", "max_cls", "prev_cls",
     )
     types = dict(features.dtypes)
-    imputed = base.where(F.col(keys.side).isNull()).dropDuplicates([keys.contest]).select(
+    missing = base.where(F.col(keys.side).isNull()).groupBy(keys.contest, keys.side).agg(F.min(cls).alias("_lo"), F.max(cls).alias("_hi"))
+    imputed = missing.select(
         F.col(keys.contest), F.col(keys.side),
         *[F.lit(v).cast(types[n]).alias(n) for n, v in [
             ("n_career", 0), ("n_flagged", 0), ("days_since_first", 0), ("days_since_prev", None), ("total_duration", 0)]],
-        F.col(cls).alias("min_cls"), F.col(cls).alias("max_cls"), F.lit(None).cast(types["prev_cls"]).alias("prev_cls"),
+        F.col("_lo").alias("min_cls"), F.col("_hi").alias("max_cls"), F.lit(None).cast(types["prev_cls"]).alias("prev_cls"),
     )
     return features.unionByName(imputed)
 

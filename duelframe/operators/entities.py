@@ -47,7 +47,9 @@ def _canon_side(canon, keys):
 
 
 def seed_map(canon: DataFrame, aux: DataFrame, tol_days=0, keys: Keys = Keys()) -> DataFrame:
-    """Candidate (aux_id, canon_id) pairs from contests whose two names agree."""
+    """Candidate (aux_id, canon_id) pairs from contests whose two names agree; a blank name agrees with nothing."""
+    named = (F.col("side_name") != "") & (F.col("opp_name") != "")
+    canon, aux = canon.where(named), aux.where(named)
     hits = tolerant_date_join(aux, _canon_side(canon, keys), [("side_name", "c_side_name"), ("opp_name", "c_opp_name")],
                               keys.date, "c_d", tol_days)
     return hits.select(F.col(keys.side).alias("aux_id"), F.col("c_side").alias("canon_id")).distinct()
@@ -103,6 +105,7 @@ class ResolveResult:
     conflicts: DataFrame
     iters: int
     sizes: list = field(default_factory=list)
+    complete: bool = True  # False if `max_iters` stopped a phase that still found ids
 
 
 def _small(df, n):
@@ -110,33 +113,33 @@ def _small(df, n):
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
-def resolve_entities(canon: DataFrame, aux: DataFrame, manual: DataFrame = None, tol_days=0, max_iters=20,
+def resolve_entities(canon: DataFrame, aux: DataFrame, manual: DataFrame = None, tol_days=0, max_iters=None,
                      include_multi=True, keys: Keys = Keys(), replacements_df: DataFrame = None,
                      on_conflict="raise") -> ResolveResult:
     """Learn aux_id -> canon_id. Several aux ids may share one canonical id, never the other way round.
 
     Each round only follows contests against ids found in the round before: a contest whose opponent was known
-    earlier and found no partner then finds none later either.
+    earlier and found no partner then finds none later either. Rounds go on until one finds nothing; `max_iters` stops
+    a phase earlier and marks the result as not complete. Every disagreement is reported once, with all its candidates.
     """
     spark = canon.sparkSession
     canon_all = materialize(contest_edges(canon, keys, replacements_df), "canon")
     aux_all = materialize(contest_edges(aux, keys, replacements_df), "aux")
     id_map = spark.createDataFrame([], MAP_SCHEMA) if manual is None else manual.toDF("aux_id", "canon_id")
     conflicts = spark.createDataFrame([], MAP_SCHEMA + ", kind string")
-    rounds, sizes, state = 0, [], {"map": id_map, "conflicts": conflicts}
+    rounds, sizes, state, complete = 0, [], {"map": id_map, "conflicts": conflicts}, True
 
     def learn(candidates):
         """One written table per round: the new entries and, marked, every disagreement."""
         old = state["map"].select(F.col("aux_id").alias("_a"), F.col("canon_id").alias("_c"))
-        found = candidates.groupBy("aux_id").agg(F.min("canon_id").alias("canon_id"), F.max("canon_id").alias("_hi"))
-        joined = found.join(old, F.col("aux_id") == F.col("_a"), "left")
-        clash = (F.col("canon_id") != F.col("_hi")) | F.coalesce(F.col("canon_id") != F.col("_c"), F.lit(False))
-        kind = F.when(clash, F.when(F.col("_a").isNull(), "several").otherwise("known")).when(F.col("_a").isNull(), "new")
-        told = materialize(joined.select("aux_id", "canon_id", "_hi", kind.alias("kind")).where("kind is not null"), "candidates")
+        pairs = materialize(candidates.select("aux_id", "canon_id").distinct(), "pairs")
+        found = pairs.groupBy("aux_id").agg((F.min("canon_id") != F.max("canon_id")).alias("_clash"))
+        joined = pairs.join(found, "aux_id").join(old, F.col("aux_id") == F.col("_a"), "left")
+        kind = F.when(F.col("_a").isNotNull(), F.when(F.col("canon_id") != F.col("_c"), "known")).when(F.col("_clash"), "several").otherwise("new")
+        told = materialize(joined.select("aux_id", "canon_id", kind.alias("kind")).where("kind is not null"), "candidates")
         n_new, n_bad = told.agg(F.count_if(F.col("kind") == "new"), F.count_if(F.col("kind") != "new")).first()
         if n_bad:
-            bad = told.where("kind <> 'new'").select(
-                "aux_id", F.explode(F.array_distinct(F.array("canon_id", "_hi"))).alias("canon_id"), "kind")
+            bad = told.where("kind <> 'new'")
             state["conflicts"] = state["conflicts"].unionByName(bad)
             if on_conflict == "raise":
                 raise CheckFailed(f"ids map to more than one canonical id: {bad.limit(20).collect()}")
@@ -157,13 +160,15 @@ def resolve_entities(canon: DataFrame, aux: DataFrame, manual: DataFrame = None,
             break
         aux_part, canon_part = [materialize(df, "phase") for df in phase()]
         last, n_last = known, known.count()
-        for _ in range(max_iters):
-            rounds += 1
-            last, n_last = learn(frontier(aux_part, canon_part, _small(last, n_last), tol_days, keys, state["map"]))
-            if n_last == 0:
+        done = 0
+        while n_last:
+            if done == max_iters:
+                complete = False
                 break
+            done, rounds = done + 1, rounds + 1
+            last, n_last = learn(frontier(aux_part, canon_part, _small(last, n_last), tol_days, keys, state["map"]))
     final = materialize(state["map"], "idmap")
-    return ResolveResult(final, stray_contests(aux_all, final, keys), state["conflicts"], rounds, sizes)
+    return ResolveResult(final, stray_contests(aux_all, final, keys), state["conflicts"].distinct(), rounds, sizes, complete)
 
 
 def stray_contests(aux: DataFrame, id_map: DataFrame, keys: Keys = Keys()) -> DataFrame:
@@ -175,7 +180,7 @@ def stray_contests(aux: DataFrame, id_map: DataFrame, keys: Keys = Keys()) -> Da
 
 
 def contest_map(aux: DataFrame, canon: DataFrame, suffixes=("_aux", "_canon"), merge_canon: DataFrame = None,
-                manual: DataFrame = None, id_tol=0, join_tol=0, include_multi=True, max_iters=20,
+                manual: DataFrame = None, id_tol=0, join_tol=0, include_multi=True, max_iters=None,
                 keys: Keys = Keys(), check=True) -> DataFrame:
     """Contest-level map (side, opp, date) of aux -> canon.
 
@@ -187,7 +192,10 @@ def contest_map(aux: DataFrame, canon: DataFrame, suffixes=("_aux", "_canon"), m
     aux_in = aux.na.drop(how="any", subset=ids)
     merge = merge_canon if merge_canon is not None else canon.sparkSession.createDataFrame([], "f string, t string")
     merged = overwrite_values(canon_in, [keys.side, keys.opp], merge)
-    id_map = resolve_entities(merged, aux_in, manual, id_tol, max_iters, include_multi, keys).id_map
+    resolved = resolve_entities(merged, aux_in, manual, id_tol, max_iters, include_multi, keys)
+    if not resolved.complete:
+        raise CheckFailed(f"ids were still found after {max_iters} rounds")
+    id_map = resolved.id_map
     left = aux_in.select(*[F.col(c).alias(c + s_aux) for c in ids])
     left = left_lookup(left, id_map.toDF("a", "_side"), [keys.side + s_aux], ["a"])
     left = left_lookup(left, id_map.toDF("a", "_opp"), [keys.opp + s_aux], ["a"])
@@ -223,19 +231,25 @@ PRESETS = split_key_pairs({
 })
 
 
-def reachable_ids(edges: DataFrame, roots: DataFrame, max_depth, failed: DataFrame = None) -> DataFrame:
-    """(id, depth) of everything reached from the roots; ids in `failed` are reached but not expanded."""
+def reachable_ids(edges: DataFrame, roots: DataFrame, max_depth=None, failed: DataFrame = None) -> DataFrame:
+    """(id, depth) of everything reached from the roots; ids in `failed` are reached but not expanded.
+
+    Runs until nothing new is found; raises if that takes more than `max_depth` steps.
+    """
     links = edges.select(F.col(edges.columns[0]).cast("string").alias("src"), F.col(edges.columns[1]).cast("string").alias("dst"))
     if failed is not None:
         links = links.join(failed.select(F.col(failed.columns[0]).cast("string").alias("src")), "src", "left_anti")
     links = materialize(links.distinct(), "links")
     level = materialize(roots.select(F.col(roots.columns[0]).cast("string").alias("id"), F.lit(0).alias("depth")).distinct(), "level")
     seen, n = level, level.count()
-    for depth in range(1, max_depth + 1):
+    depth = 0
+    while n:
+        depth += 1
         step = links.join(_small(level.select(F.col("id").alias("src")), n), "src", "inner").select(F.col("dst").alias("id")).distinct()
         level = materialize(step.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)), "level")
         n = level.count()
-        if n == 0:
-            break
-        seen = seen.unionByName(level)
+        if n and max_depth is not None and depth > max_depth:
+            raise CheckFailed(f"ids lie more than {max_depth} steps from the roots")
+        if n:
+            seen = seen.unionByName(level)
     return seen

@@ -83,8 +83,11 @@ def tolerant_date_join(left: DataFrame, right: DataFrame, on, l_date, r_date, to
     """Equal keys and dates at most `tol_days` apart. `on` lists (left, right) names; all names must be distinct.
 
     Dates are cut into stretches of tol + 1 days: a left row lies in one, a right row is offered to three. The
-    stretch is part of the equi-join key, so a hot key never meets itself over all dates.
+    stretch is part of the equi-join key, so a hot key never meets itself over all dates. As right rows are offered
+    several times, `how` must not keep unmatched ones.
     """
+    if how not in ("inner", "left", "left_outer", "left_semi", "left_anti", "semi", "anti"):
+        raise ValueError(f"{how!r} would repeat unmatched right rows; swap the sides")
     same = [F.col(a) == F.col(b) for a, b in on]
     if tol_days == 0:
         return left.join(right, same + [F.col(l_date) == F.col(r_date)], how)
@@ -135,12 +138,13 @@ def pair_merge_first_last(df: DataFrame, by, order, side="_side", opp="_opp") ->
 
 
 def outcome_pivot_join(df: DataFrame, keys, outcome, price, side="side", opp="opp") -> DataFrame:
-    """One row per snapshot key with the price of each outcome; keys lacking one of the two are dropped."""
-    is_side = F.col(outcome) == F.col(side)
+    """One row per snapshot key with the price of each side's outcome; keys lacking one of the two are dropped, other
+    outcomes (a draw) are ignored."""
+    is_side, is_opp = F.col(outcome) == F.col(side), F.col(outcome) == F.col(opp)
     return df.groupBy(*keys).agg(
         F.max(F.when(is_side, F.col(price))).alias(f"side_{price}"),
-        F.max(F.when(~is_side, F.col(price))).alias(f"opp_{price}"),
-        F.count_if(is_side).alias("_s"), F.count_if(~is_side).alias("_o"),
+        F.max(F.when(is_opp, F.col(price))).alias(f"opp_{price}"),
+        F.count_if(is_side).alias("_s"), F.count_if(is_opp).alias("_o"),
     ).where("_s > 0 and _o > 0").drop("_s", "_o")
 
 
@@ -177,8 +181,11 @@ def close_line_join(df: DataFrame, close: DataFrame, on) -> DataFrame:
 
 
 def feature_join(df: DataFrame, feats: DataFrame, keys: Keys = Keys()) -> DataFrame:
-    extra = [c for c in feats.columns if c not in df.columns or c in keys.row]
-    return df.join(feats.select(*extra), keys.row, "left")
+    """Left join of features by row key; a feature named like a column of `df` is refused."""
+    clash = sorted(set(feats.columns) & set(df.columns) - set(keys.row))
+    if clash:
+        raise ValueError(f"columns {clash} are on both sides")
+    return df.join(feats, keys.row, "left")
 
 
 def multi_table_inner(dfs, on) -> DataFrame:

@@ -57,23 +57,27 @@ def accuracy_of(y, p):
 
 
 def flat_return_of(p, ps, po, y):
-    """Net gain per unit bet; 0 without any bet."""
+    """Net gain per unit bet; 0 without any bet. A price without odds (probability 0) is no bet."""
     p, ps, po, y = _c(p), _c(ps), _c(po), _c(y)
-    on_side, on_opp = p > ps, (1 - p) > po
+    on_side, on_opp = (p > ps) & (ps > 0), ((1 - p) > po) & (po > 0)
     gain = (
-        F.when(on_side & (y == 1), 1 / ps - 1).when(on_side & (y == 0), -1.0).otherwise(0.0)
-        + F.when(on_opp & (y == 0), 1 / po - 1).when(on_opp & (y == 1), -1.0).otherwise(0.0)
+        F.when(on_side & (y == 1), F.try_divide(F.lit(1.0), ps) - 1).when(on_side & (y == 0), -1.0).otherwise(0.0)
+        + F.when(on_opp & (y == 0), F.try_divide(F.lit(1.0), po) - 1).when(on_opp & (y == 1), -1.0).otherwise(0.0)
     )
     bets = F.sum(F.coalesce(on_side.cast("int"), F.lit(0)) + F.coalesce(on_opp.cast("int"), F.lit(0)))
     return F.when(bets == 0, 0.0).otherwise(F.try_divide(F.sum(gain), bets))
 
 
 def kelly_growth_of(p, ps, po, y):
-    """Product of 1 + return over rows; 0 as soon as one row loses everything."""
+    """Product of 1 + return over rows; 0 as soon as one row loses everything. Prices without odds, or with odds that
+    win nothing (probability 0 or 1), are no bet."""
     p, ps, po, y = _c(p), _c(ps), _c(po), _c(y)
-    b_side, b_opp = 1 / ps - 1, 1 / po - 1
-    k_side = F.greatest(F.lit(0.0), p + (p - 1) / b_side)
-    k_opp = F.greatest(F.lit(0.0), (1 - p) - p / b_opp)
+
+    def stake(p, b):
+        return F.when(b > 0, F.greatest(F.lit(0.0), p - F.try_divide(1 - p, b))).otherwise(0.0)
+
+    b_side, b_opp = (F.when((q > 0) & (q < 1), F.try_divide(F.lit(1.0), q) - 1).otherwise(0.0) for q in (ps, po))
+    k_side, k_opp = stake(p, b_side), stake(1 - p, b_opp)
     total = 1 + F.when(y == 1, k_side * b_side - k_opp).when(y == 0, k_opp * b_opp - k_side).otherwise(0.0)
     return F.when(F.min(total) <= 0, 0.0).otherwise(F.exp(F.sum(F.ln(F.when(total > 0, total)))))
 

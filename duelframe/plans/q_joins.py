@@ -124,7 +124,8 @@ max(CASE WHEN side < opp THEN side_v ELSE opp_v END) AS side_price, max(CASE WHE
 FROM raw GROUP BY ALL"""))
 def j9(spark, sf):
     df = raw_contests(spark, sf)
-    outcomes = F.array(F.struct(F.col("side").alias("outcome"), F.col("side_v").alias("price")), F.struct(F.col("opp").alias("outcome"), F.col("opp_v").alias("price")))
+    outcomes = F.array(F.struct(F.col("side").alias("outcome"), F.col("side_v").alias("price")), F.struct(F.col("opp").alias("outcome"), F.col("opp_v").alias("price")),
+                       F.struct(F.lit("Draw").alias("outcome"), F.lit(1e9).alias("price")))
     rows = df.select("event", "contest", F.least("side", "opp").alias("a"), F.greatest("side", "opp").alias("b"), F.explode(outcomes).alias("o"))
     rows = rows.select("event", "contest", F.col("a").alias("side"), F.col("b").alias("opp"), "o.outcome", "o.price")
     return joins.outcome_pivot_join(rows, ["event", "contest", "side", "opp"], "outcome", "price")
@@ -176,7 +177,7 @@ def j14(spark, sf):
 
 @query("J15_feature_join", priced_sql(f"SELECT contest, side, opp, res, {r('y_pred')} AS y_pred FROM priced"))
 def j15(spark, sf):
-    feats = priced(spark, sf).select("contest", "side", "opp", "res", rd("y_pred").alias("y_pred"))
+    feats = priced(spark, sf).select("contest", "side", "opp", rd("y_pred").alias("y_pred"))
     return joins.feature_join(contests(spark, sf).select("contest", "side", "opp", "res"), feats, K)
 
 

@@ -73,8 +73,10 @@ def n6(spark, sf):
     return N.round_rows(df, ["landed", "name"])
 
 
-@query("H1_extract_links", """SELECT page_id, url, CAST(i - 1 AS INT) AS pos, href FROM (SELECT page_id, url, unnest(hs) AS href, generate_subscripts(hs, 1) AS i FROM
-(SELECT page_id, url, list_filter(regexp_extract_all(html, 'href="([^"]*)"', 1), lambda x: starts_with(x, '/')) AS hs FROM pages))""")
+@query("H1_extract_links", r"""SELECT page_id, url, CAST(i - 1 AS INT) AS pos, href FROM (SELECT page_id, url, unnest(hs) AS href, generate_subscripts(hs, 1) AS i FROM
+(SELECT page_id, url, list_filter(list_transform(regexp_extract_all(html, '(?i)\bhref\s*=\s*(?:"[^"]*"|{q}[^{q}]*{q}|[^\s"{q}>]+)'), lambda x:
+replace(replace(replace(replace(replace(replace(regexp_replace(x, '(?i)^href\s*=\s*["{q}]?([^"{q}]*)["{q}]?$', '\1'), '&quot;', '"'), '&#39;', chr(39)), '&apos;', chr(39)),
+'&lt;', '<'), '&gt;', '>'), '&amp;', '&')), lambda x: starts_with(x, '/')) AS hs FROM pages))""".replace("{q}", 2 * "'"))
 def h1(spark, sf):
     return H.extract_links(table(spark, sf, "pages"), "html", "/")
 

@@ -107,9 +107,9 @@ def v8(spark, sf):
 
 # -- bets -------------------------------------------------------------------------------------------
 
-# Every eighth price is missing.
-_MISSING = "CASE WHEN line <> 8 AND flag <> 'N' THEN {0} END"
-_BETS = f"""kb AS (SELECT * REPLACE ({_MISSING.format('side_odds')} AS side_odds, {_MISSING.format('opp_odds')} AS opp_odds) FROM priced),
+# Some contests lack both prices, some only one.
+_MISSING = {"side_odds": "CASE WHEN line <> 7 AND flag <> 'N' THEN side_odds END", "opp_odds": "CASE WHEN line <> 6 AND flag <> 'N' THEN opp_odds END"}
+_BETS = f"""kb AS (SELECT * FROM (SELECT * REPLACE ({_MISSING['side_odds']} AS side_odds, {_MISSING['opp_odds']} AS opp_odds) FROM priced) WHERE side_odds IS NOT NULL AND opp_odds IS NOT NULL),
 kf AS (SELECT *, coalesce(greatest(0, y_pred - (1 - y_pred) / (side_odds - 1)), 0) AS kelly_side, coalesce(greatest(0, (1 - y_pred) - y_pred / (opp_odds - 1)), 0) AS kelly_opp FROM kb),
 ks AS (SELECT *, sum(CAST(kelly_side > 0 AS INT) + CAST(kelly_opp > 0 AS INT)) OVER (PARTITION BY d) AS n_bets FROM kf),
 stk AS (SELECT *, CASE WHEN n_bets > 0 THEN least(0.1, kelly_side / n_bets) ELSE 0 END AS stake_side, CASE WHEN n_bets > 0 THEN least(0.1, kelly_opp / n_bets) ELSE 0 END AS stake_opp FROM ks),
@@ -120,7 +120,7 @@ eq AS (SELECT *, exp(sum(ln(1 + ret)) OVER (ORDER BY d)) AS portfolio FROM ret)
 
 
 def _kelly(spark, sf):
-    df = priced(spark, sf).withColumns({c: F.expr(_MISSING.format(c)) for c in ("side_odds", "opp_odds")})
+    df = priced(spark, sf).withColumns({c: F.expr(e) for c, e in _MISSING.items()})
     return B.with_kelly(df)
 
 

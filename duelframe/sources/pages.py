@@ -5,9 +5,22 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.text import _c
 
 
+LINK = r"""(?i)\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+# The entities of a link's target; the ampersand last, so that nothing is decoded twice.
+ENTITIES = [("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")]
+
+
+def decode_entities(c) -> Column:
+    for entity, char in ENTITIES:
+        c = F.replace(c, F.lit(entity), F.lit(char))
+    return c
+
+
 def extract_links(df: DataFrame, html, prefix="") -> DataFrame:
-    """One row per link of a page whose target starts with `prefix`."""
-    found = F.regexp_extract_all(F.col(html), F.lit(r'href="([^"]*)"'), F.lit(1))
+    """One row per link of a page whose target starts with `prefix`; quotes of either kind or none, common entities
+    decoded."""
+    found = F.regexp_extract_all(F.col(html), F.lit(LINK), F.lit(0))
+    found = F.transform(found, lambda x: decode_entities(F.regexp_replace(x, LINK, "$1$2$3")))
     kept = F.filter(found, lambda x: F.startswith(x, F.lit(prefix)))
     return df.select(*[c for c in df.columns if c != html], F.posexplode(kept).alias("pos", "href"))
 
