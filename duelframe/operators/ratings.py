@@ -3,10 +3,9 @@
 All contests of a period see the ratings from before the period, so one period is one join plus one sum. Every
 (target, alpha) pair is a `cell`, a key column: a whole grid shares one pass over the periods.
 
-Per period the entities that took part are written with their rating before and after. A state of up to
-BROADCAST_ROWS rows is written whole each time; a larger one is a compacted table plus the changes since, merged
-every few periods. Everything lives in the shared folder, so a lost executor costs one period at most, and no
-plan grows with the number of periods.
+Per period only the entities that took part are read, joined and written, with their rating before and after; the state
+is a compacted table plus the written periods since, merged every COMPACT_EVERY periods. Everything lives in the shared
+folder, so a lost executor costs one period at most, and no plan grows with the number of periods.
 """
 
 from dataclasses import dataclass
@@ -17,7 +16,7 @@ from ..functions.dates import week_bucket
 from ..functions.odds import expit, logit
 from ..functions.text import _c
 from ..keys import Keys
-from ..session import BROADCAST_ROWS, materialize, new_path
+from ..session import materialize, new_path
 from .aggs import group_stddev, pooled_rate_logit
 from .protocols import BINARY, BINARY_OFFSET, REAL, half_step, rating_hook
 
@@ -25,6 +24,8 @@ STATE_SCHEMA = "cell string, entity string, rating double"
 STEP_SCHEMA = "cell string, entity string, before double, rating double, hit boolean"
 HISTORY_SCHEMA = STEP_SCHEMA + ", period string"
 COMPACT_EVERY = 12
+# The entities of one period are broadcast if so many bytes hold them; beyond it they are joined by shuffling.
+BROADCAST_BYTES, ENTITY_BYTES = 64 << 20, 128
 
 
 @dataclass
@@ -78,22 +79,19 @@ def _current(spark, base, log):
 class _Step:
     """The contributions of one period; its expressions are built once and serve every period."""
 
-    def __init__(self, hook, small):
-        self._small = small
+    def __init__(self, hook):
         r_side, r_opp = F.coalesce("r_side", F.lit(0.0)), F.coalesce("r_opp", F.lit(0.0))
         step = hook.delta(F.col("y"), hook.predict(r_side, r_opp, F.col("offset")), F.col("alpha"))
         self._moves = F.explode(F.array(
             F.struct(F.col("e_side").alias("entity"), r_side.alias("before"), step.alias("change")),
             F.struct(F.col("e_opp").alias("entity"), r_opp.alias("before"), (-step).alias("change")))).alias("m")
 
-    def __call__(self, rows, period, now) -> DataFrame:
+    def __call__(self, batch, now) -> DataFrame:
         """(cell, entity, before, change, hit) of every side of every contest row."""
         side = now.selectExpr("cell", "entity AS e_side", "rating AS r_side")
         opp = now.selectExpr("cell", "entity AS e_opp", "rating AS r_opp")
-        if self._small:
-            side, opp = F.broadcast(side), F.broadcast(opp)
-        batch = rows.where(f"period = '{period}'").join(side, ["cell", "e_side"], "left").join(opp, ["cell", "e_opp"], "left")
-        return batch.select("cell", self._moves).selectExpr("cell", "m.entity", "m.before", "m.change", "true AS hit")
+        joined = batch.join(side, ["cell", "e_side"], "left").join(opp, ["cell", "e_opp"], "left")
+        return joined.select("cell", self._moves).selectExpr("cell", "m.entity", "m.before", "m.change", "true AS hit")
 
 
 def _run(long_rows: DataFrame, hook, state: DataFrame = None) -> tuple:
@@ -103,16 +101,12 @@ def _run(long_rows: DataFrame, hook, state: DataFrame = None) -> tuple:
     tie = F.xxhash64("contest", "e_side", "cell")
     rows = materialize(long_rows.repartitionByRange(F.col("period"), tie), "periods", ["period"])
     rows = rows.withColumn("period", F.col("period").cast("string"))
-    periods = [r[0] for r in rows.select("period").distinct().orderBy("period").collect()]  # bounded by the calendar
-    entities = rows.select("cell", F.explode(F.array("e_side", "e_opp")).alias("entity")).where("entity is not null").distinct()
-    start = entities.withColumn("rating", F.lit(0.0))
-    if state is not None:
-        start = _current(spark, start, [state.select("cell", "entity", "rating")])
-    base = materialize(start, "state")
-    small = base.count() <= BROADCAST_ROWS
+    periods = rows.groupBy("period").count().orderBy("period").collect()  # bounded by the calendar
+    base = None if state is None else materialize(state.select("cell", "entity", "rating"), "state")
     history_path = new_path(spark, "history")
-    steps = _whole_steps if small else _logged_steps
-    final = steps(spark, rows, periods, base, _Step(hook, small), history_path)
+    changed = _steps(spark, rows, periods, base, _Step(hook), history_path)
+    entities = rows.select("cell", F.explode(F.array("e_side", "e_opp")).alias("entity")).where("entity is not null").distinct()
+    final = materialize(_current(spark, entities.withColumn("rating", F.lit(0.0)), changed), "state")
     if not periods:
         return rows, spark.createDataFrame([], HISTORY_SCHEMA), final
     hist = spark.read.schema(HISTORY_SCHEMA).parquet(history_path).where("hit")
@@ -123,29 +117,27 @@ def _sums():
     return [F.max("before").alias("before"), F.sum("change").alias("change"), F.max("hit").alias("hit")]
 
 
-def _whole_steps(spark, rows, periods, now, step, history_path):
-    """Every period writes the whole state with its ratings before and after; the next one reads only that."""
-    sums = _sums()
-    for period in periods:
-        kept = now.selectExpr("cell", "entity", "rating AS before", "0D AS change", "false AS hit")
-        done = kept.union(step(rows, period, now)).groupBy("cell", "entity").agg(*sums).where("entity IS NOT NULL")
-        path = f"{history_path}/period={period}"
-        done.selectExpr("cell", "entity", "before", "before + change AS rating", "hit").write.parquet(path)
-        now = spark.read.schema(STEP_SCHEMA).parquet(path)
-    return now.select("cell", "entity", "rating")
+def _steps(spark, rows, periods, base, step, history_path):
+    """Every period reads and writes only the entities that took part. Returns the tables whose sum is the state."""
+    paths, sums = [], _sums()
 
+    def log():
+        if not paths:
+            return []
+        return [spark.read.schema(STEP_SCHEMA).parquet(*paths).selectExpr("cell", "entity", "rating - before AS rating")]
 
-def _logged_steps(spark, rows, periods, base, step, history_path):
-    """Every period writes only the entities that took part; their changes are merged every few periods."""
-    log, sums = [], _sums()
-    for period in periods:
-        done = step(rows, period, _current(spark, base, log)).groupBy("cell", "entity").agg(*sums).where("entity IS NOT NULL")
+    for period, n in periods:
+        hint = F.broadcast if 2 * n * ENTITY_BYTES <= BROADCAST_BYTES else (lambda df: df)
+        batch = rows.where(f"period = '{period}'")
+        took = hint(batch.select("cell", F.explode(F.array("e_side", "e_opp")).alias("entity")).distinct())
+        parts = [part.join(took, ["cell", "entity"], "left_semi") for part in ([base] if base is not None else []) + log()]
+        done = step(batch, hint(_current(spark, None, parts))).groupBy("cell", "entity").agg(*sums).where("entity IS NOT NULL")
         path = f"{history_path}/period={period}"
         done.selectExpr("cell", "entity", "before", "before + change AS rating", "hit").write.parquet(path)
-        log.append(spark.read.schema(STEP_SCHEMA).parquet(path).selectExpr("cell", "entity", "rating - before AS rating"))
-        if len(log) == COMPACT_EVERY:
-            base, log = materialize(_current(spark, base, log), "state"), []
-    return materialize(_current(spark, base, log), "state")
+        paths.append(path)
+        if len(paths) == COMPACT_EVERY:
+            base, paths = materialize(_current(spark, base, log()), "state"), []
+    return ([base] if base is not None else []) + log()
 
 
 def _with_ratings(rows, hist, hook):

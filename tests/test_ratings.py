@@ -60,7 +60,7 @@ def test_matches_plain_loop(spark, monkeypatch, kind, logged):
     if logged and kind == "offset":
         pytest.skip("the step itself does not depend on how the state is kept")
     if logged:  # the path for states too large to broadcast
-        monkeypatch.setattr(R, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(R, "BROADCAST_BYTES", 0)
         monkeypatch.setattr(R, "COMPACT_EVERY", 3)
     fit, pick, predict = CASES[kind]
     rows = table()
