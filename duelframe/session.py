@@ -46,6 +46,12 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/duelframe-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+def release(spark: SparkSession) -> None:
+    """Delete every table this application wrote to the shared folder; frames that read them are of no use after it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/duelframe-{spark.sparkContext.applicationId}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def materialize(df: DataFrame, label: str, partition_by=()) -> DataFrame:
     """Write `df` to the shared folder and read it back: the result survives the loss of any executor."""
     spark = df.sparkSession

@@ -17,8 +17,9 @@ def spark():
         .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "8g").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
-    from duelframe.session import tune
+    from duelframe.session import release, tune
     yield tune(session)
+    release(session)
     session.stop()
 
 

@@ -84,3 +84,47 @@ def test_reachable_depths(spark):
 def test_presets_reject_unknown_options():
     with pytest.raises(ValueError):
         E.split_key_pairs({"x": {"tolerance": 1}})
+
+
+def chain(n):
+    """Only the first contest's names agree; every further id follows from the one before."""
+    d = lambda i: dt.date(2020, 1, 1) + dt.timedelta(days=3 * i)
+    canon = [(d(i), f"c{i}", f"c{i + 1}", f"name {i}", f"name {i + 1}") for i in range(n)]
+    aux = [(x, s.replace("c", "a"), o.replace("c", "a"), sn if i == 0 else f"x{i}", on if i == 0 else f"y{i}")
+           for i, (x, s, o, sn, on) in enumerate(canon)]
+    return canon, aux
+
+
+def test_long_chain_is_resolved_to_its_end(spark):
+    canon, aux = [spark.createDataFrame(rows, SCHEMA) for rows in chain(44)]
+    result = E.resolve_entities(canon, aux)
+    assert result.complete and {r.aux_id: r.canon_id for r in result.id_map.collect()} == {f"a{i}": f"c{i}" for i in range(45)}
+
+
+def test_a_hit_bound_is_told(spark):
+    canon, aux = [spark.createDataFrame(rows, SCHEMA) for rows in chain(9)]
+    result = E.resolve_entities(canon, aux, max_iters=2)
+    assert not result.complete and result.id_map.count() < 10
+    with pytest.raises(CheckFailed):
+        E.contest_map(aux, canon, max_iters=2)
+    edges = spark.createDataFrame([(f"{i}", f"{i + 1}") for i in range(5)], "s string, t string")
+    roots = spark.createDataFrame([("0",)], "id string")
+    assert E.reachable_ids(edges, roots).count() == 6 and E.reachable_ids(edges, roots, 5).count() == 6
+    with pytest.raises(CheckFailed):
+        E.reachable_ids(edges, roots, 4)
+
+
+def test_every_candidate_of_a_conflict_is_listed_once(spark):
+    d = lambda i: dt.date(2020, 1, 1) + dt.timedelta(days=3 * i)
+    canon = [(d(i), f"c{i}", f"o{i}", "joe", f"max {i}") for i in range(3)]
+    aux = [(d(i), "a", f"p{i}", "joe", f"max {i}") for i in range(3)]
+    result = E.resolve_entities(spark.createDataFrame(canon, SCHEMA), spark.createDataFrame(aux, SCHEMA), on_conflict="return")
+    assert sorted(map(tuple, result.conflicts.collect())) == [("a", f"c{i}", "several") for i in range(3)]
+
+
+def test_blank_names_agree_with_nothing(spark):
+    day = dt.date(2020, 1, 1)
+    canon = [(day, f"c{i}", f"o{i}", "", None) for i in range(3)]
+    aux = [(day, f"a{i}", f"p{i}", None, " ") for i in range(4)]
+    edges = [E.contest_edges(spark.createDataFrame(rows, SCHEMA)) for rows in (canon, aux)]
+    assert E.seed_map(*edges).isEmpty()
