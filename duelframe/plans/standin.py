@@ -43,7 +43,8 @@ def raw_contests(spark, sf_dir) -> DataFrame:
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus")
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
     met = with_running(lines, "l_orderkey", order, {
-        "next": Run("lead", F.struct(F.col("l_suppkey").alias("s"), F.col("l_extendedprice").alias("p"), F.col("l_quantity").alias("q")))})
+        "next": Run("lead", F.struct(F.col("l_suppkey").alias("s"), F.col("l_extendedprice").alias("p"), F.col("l_quantity").alias("q")))},
+        hot_rows=None)  # an order has few lines
     met = met.where("next.s is not null and next.s <> l_suppkey")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
     joined = met.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
@@ -94,13 +95,13 @@ raw0 AS (SELECT CAST(o_orderdate AS DATE) AS d, CAST(l_suppkey AS VARCHAR) AS si
   l_extendedprice AS side_v, o_p AS opp_v, l_quantity AS side_q, o_q AS opp_q, l_orderkey AS event, l_linenumber AS line,
   o_orderpriority AS cls, l_returnflag AS flag, l_linestatus AS method
   FROM l JOIN orders ON l_orderkey = o_orderkey WHERE o_s IS NOT NULL AND o_s <> l_suppkey),
-raw AS (SELECT strftime(d, '%Y-%m-%d') || '_' || least(side, opp) || '_' || greatest(side, opp) AS contest, *,
+raw AS MATERIALIZED (SELECT strftime(d, '%Y-%m-%d') || '_' || least(side, opp) || '_' || greatest(side, opp) AS contest, *,
   CASE WHEN side_q = opp_q THEN 'D' WHEN side_v > opp_v THEN 'W' ELSE 'L' END AS res FROM raw0)"""
 
 DBL = RAW + """,
-one AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY contest
+one AS MATERIALIZED (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY contest
   ORDER BY side, opp, d, side_v, opp_v, side_q, opp_q, event, line, cls, flag, method, res) AS rn FROM raw) WHERE rn = 1),
-dbl AS (SELECT * FROM one UNION ALL
+dbl AS MATERIALIZED (SELECT * FROM one UNION ALL
   SELECT contest, d, opp, side, opp_v, side_v, opp_q, side_q, event, line, cls, flag, method,
     CASE res WHEN 'W' THEN 'L' WHEN 'L' THEN 'W' ELSE res END FROM one)"""
 
@@ -111,7 +112,7 @@ pr1 AS (SELECT *, CASE WHEN fav THEN -(110 + 3 * side_q) ELSE 100 + 2 * side_q E
   CASE WHEN NOT fav THEN -(110 + 3 * opp_q) ELSE 100 + 2 * opp_q END AS ml_opp FROM pr0),
 pr2 AS (SELECT *, CASE WHEN ml_side <= 0 THEN -ml_side / (100 - ml_side) ELSE 100 / (100 + ml_side) END AS i_side,
   CASE WHEN ml_opp <= 0 THEN -ml_opp / (100 - ml_opp) ELSE 100 / (100 + ml_opp) END AS i_opp FROM pr1),
-priced AS (SELECT * EXCLUDE (fav, i_side, i_opp), i_side / (i_side + i_opp) AS p_side, i_opp / (i_side + i_opp) AS p_opp,
+priced AS MATERIALIZED (SELECT * EXCLUDE (fav, i_side, i_opp), i_side / (i_side + i_opp) AS p_side, i_opp / (i_side + i_opp) AS p_opp,
   CASE WHEN ml_side < 0 THEN -100 / ml_side + 1 ELSE ml_side / 100 + 1 END AS side_odds,
   CASE WHEN ml_opp < 0 THEN -100 / ml_opp + 1 ELSE ml_opp / 100 + 1 END AS opp_odds,
   1 / (1 + exp(-((side_q - opp_q) / 25 + (side_v - opp_v) / 200000))) AS y_pred FROM pr2)"""
