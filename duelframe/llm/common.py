@@ -15,8 +15,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 _CONF = {
     # Long texts: batches to Python are bounded by rows and by bytes.
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
     # Shuffle files of a finished write go at once; nothing here reads a plan's shuffle twice.
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
 }
@@ -49,7 +49,7 @@ def text_or_empty(col: str = "text"):
 class WordHashes(dict):
     """64-bit hashes of words, kept while they fit; `limit` bounds the memory, not the result."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 200_000):
         super().__init__()
         self.limit = limit
 

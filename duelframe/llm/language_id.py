@@ -157,7 +157,7 @@ def fit(docs: DataFrame, pieces: Pieces, id_col="doc_id", text_col="text", lang_
     return languages, probabilities
 
 
-def predict(docs: DataFrame, pieces: Pieces, languages: list, probabilities, id_col="doc_id", text_col="text", columns=(), limit=200_000) -> DataFrame:
+def predict(docs: DataFrame, pieces: Pieces, languages: list, probabilities, id_col="doc_id", text_col="text", columns=(), limit=100_000) -> DataFrame:
     """id, `columns`, lang_pred and score (posterior of the prediction under equal priors) of every whole text."""
     spark = settle(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *columns)
@@ -181,7 +181,7 @@ def predict(docs: DataFrame, pieces: Pieces, languages: list, probabilities, id_
             at, more = 0, [logs]
             while at < len(new):
                 size, stop = 0, at
-                while stop < len(new) and (stop == at or size + len(new[stop]) <= 1 << 17):
+                while stop < len(new) and (stop == at or size + len(new[stop]) <= 1 << 16):
                     size += len(new[stop])
                     stop += 1
                 more.append(forward(p, new[at:stop], log, of_byte))

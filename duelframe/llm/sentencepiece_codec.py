@@ -26,7 +26,7 @@ MODEL = "piece_bpe_32k.model"
 
 
 class Encoder:
-    def __init__(self, pieces: Pieces, limit: int = 200_000):
+    def __init__(self, pieces: Pieces, limit: int = 60_000):
         self.pieces, self.limit = pieces, limit
         self.chunks = re.compile(pieces.chunk_pattern)
         self.known: dict = {}
@@ -36,7 +36,7 @@ class Encoder:
         at = 0
         while at < len(new):
             size, stop = 0, at
-            while stop < len(new) and (stop == at or size + len(new[stop]) <= 1 << 18):
+            while stop < len(new) and (stop == at or size + len(new[stop]) <= 1 << 16):
                 size += len(new[stop])
                 stop += 1
             ids, offsets, scores = self.pieces.lattice(new[at:stop]).best()

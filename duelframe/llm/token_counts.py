@@ -41,7 +41,7 @@ def version_of(model_file: str) -> str:
 class Counter:
     """Counts tokens of texts with the library, a stretch at a time."""
 
-    def __init__(self, model: bytes, limit: int = 300_000):
+    def __init__(self, model: bytes, limit: int = 100_000):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_buffer(model)
         self.tokenizer.no_truncation()
