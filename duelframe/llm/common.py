@@ -34,6 +34,15 @@ def settle(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def share(spark: SparkSession, value):
+    """A broadcast of an object of this package; its class travels with it. The caller vouches for its size."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def shared(broadcast):
+    return cloudpickle.loads(broadcast.value)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settle(spark).read.parquet(f"{sf_dir}/documents.parquet")
 

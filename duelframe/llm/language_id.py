@@ -23,8 +23,8 @@ from pyspark.sql.window import Window
 
 from duelframe.session import materialize
 
-from .common import settle
-from .pieces import Pieces
+from .common import settle, share, shared
+from .pieces import Pieces, marked
 
 MODEL = "piece_bpe_32k.model"
 FIT_DOCS, ROUNDS, MAX_LANGUAGES = 2048, 3, 1000
@@ -52,7 +52,7 @@ def fit_sample(docs: DataFrame, id_col, text_col, lang_col, fit_docs) -> DataFra
     return texts.join(F.broadcast(chosen), ["id", "lang"], "left_semi").select("lang", "text")
 
 
-def _count_chunks(pattern, marked):
+def _count_chunks(pattern):
     def run(batches):
         for batch in batches:
             counts: Counter = Counter()
@@ -121,13 +121,13 @@ def fit(docs: DataFrame, pieces: Pieces, id_col="doc_id", text_col="text", lang_
     """(languages, piece probabilities: pieces x languages). Held-out documents teach nothing."""
     spark = settle(docs.sparkSession)
     sample = fit_sample(docs, id_col, text_col, lang_col, fit_docs)
-    counts = sample.mapInArrow(_count_chunks(pieces.chunk_pattern, pieces.marked), "lang string, chunk string, n long")
+    counts = sample.mapInArrow(_count_chunks(pieces.chunk_pattern), "lang string, chunk string, n long")
     counts = materialize(counts.groupBy("lang", "chunk").agg(F.sum("n").alias("n")), "lang-counts")
     languages = sorted(r.lang for r in counts.select("lang").distinct().collect())
     if not languages:
         return [], None
     place = {lang: k for k, lang in enumerate(languages)}
-    shared = spark.sparkContext.broadcast(pieces)
+    sent = share(spark, pieces)  # as large as the vocabulary
     start = np.exp(pieces.scores - pieces.scores.max())
     start[list(pieces.byte_ids.values())] = start.min()
     probabilities = np.repeat((start / start.sum())[:, None], len(languages), axis=1)
@@ -135,7 +135,7 @@ def fit(docs: DataFrame, pieces: Pieces, id_col="doc_id", text_col="text", lang_
         now = spark.sparkContext.broadcast(probabilities)  # pieces x languages
 
         def expect(batches):
-            p = shared.value
+            p = shared(sent)
             log, of_byte = _log(p, now.value)
             total = np.zeros_like(log)
             for batch in batches:
@@ -163,10 +163,10 @@ def predict(docs: DataFrame, pieces: Pieces, languages: list, probabilities, id_
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *columns)
     if not languages:
         return rows.drop("text").withColumnRenamed("id", id_col).withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
-    shared = spark.sparkContext.broadcast((pieces, probabilities))
+    sent = share(spark, (pieces, probabilities))
 
     def run(batches):
-        p, chances = shared.value
+        p, chances = shared(sent)
         log, of_byte = _log(p, chances)
         cut = re.compile(p.chunk_pattern)
         known: dict = {}
@@ -174,7 +174,7 @@ def predict(docs: DataFrame, pieces: Pieces, languages: list, probabilities, id_
         for batch in batches:
             texts = batch.column(1).to_pylist()
             lettered = [t is not None and LETTER.search(t) is not None for t in texts]
-            chunked = [cut.findall(p.marked(t)) if ok else [] for t, ok in zip(texts, lettered)]
+            chunked = [cut.findall(marked(t)) if ok else [] for t, ok in zip(texts, lettered)]
             if len(known) > limit:
                 known, logs = {}, logs[:0]
             new = sorted(set().union(*chunked).difference(known), key=lambda c: (len(c), c)) if chunked else []

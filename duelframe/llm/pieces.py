@@ -18,6 +18,11 @@ UNKNOWN_PENALTY = 10.0
 GRID = 1 / 1024
 
 
+def marked(text: str) -> str:
+    """Spaces as markers, with the marker that stands before every text."""
+    return MARK + text.replace(" ", MARK) if text else ""
+
+
 class Pieces:
     """Surfaces, log scores and the trie. Stored scores are taken as they are if they are log probabilities (Unigram
     models); a rank-scored model (BPE) gets Zipf log scores of its ranks."""
@@ -107,10 +112,6 @@ class Pieces:
         self.no_code = len(code) + 1
         self.deepest = max(map(len, members), default=0)
 
-    def marked(self, text: str) -> str:
-        """Spaces as markers, with the marker that stands before every text."""
-        return MARK + text.replace(" ", MARK) if text else ""
-
     def lattice(self, chunks: list) -> "Lattice":
         return Lattice(self, chunks)
 

@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
-from .pieces import MARK, Pieces
+from .common import settle, share, shared
+from .pieces import MARK, Pieces, marked
 
 MODEL = "piece_bpe_32k.model"
 
@@ -47,7 +47,7 @@ class Encoder:
 
     def encode(self, texts: list) -> list:
         """(array of ids, score) for each text."""
-        cut = [self.chunks.findall(self.pieces.marked(t)) for t in texts]
+        cut = [self.chunks.findall(marked(t)) for t in texts]
         if len(self.known) > self.limit:
             self.known = {}
         wanted = set().union(*cut) if cut else set()
@@ -75,19 +75,20 @@ def load(model_file: str | None = None) -> Pieces:
 def encode(docs: DataFrame, pieces: Pieces, id_col="doc_id", text_col="text") -> DataFrame:
     """id, ids, n_tokens, n_byte_tokens, score, round_trip (does decoding give the text back) of every text."""
     spark = settle(docs.sparkSession)
-    shared = spark.sparkContext.broadcast(pieces)  # as large as the vocabulary
+    sent = share(spark, pieces)  # as large as the vocabulary
 
     def run(batches):
-        encoder = Encoder(shared.value)
-        is_byte = np.zeros(len(shared.value.surfaces), bool)
-        is_byte[list(shared.value.byte_ids.values())] = True
+        known = shared(sent)
+        encoder = Encoder(known)
+        is_byte = np.zeros(len(known.surfaces), bool)
+        is_byte[list(known.byte_ids.values())] = True
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             found = encoder.encode(texts)
             flat = np.frombuffer(b"".join(ids.tobytes() for ids, _ in found), np.int32)
             offsets = np.concatenate([[0], np.cumsum([len(ids) for ids, _ in found])])
             byte_sums = np.concatenate([[0], np.cumsum(is_byte[flat])])
-            good = [decode(shared.value, ids) == t.replace(MARK, " ") for (ids, _), t in zip(found, texts)]
+            good = [decode(known, ids) == t.replace(MARK, " ") for (ids, _), t in zip(found, texts)]
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)), pa.array(np.diff(offsets)),
                 pa.array(byte_sums[offsets[1:]] - byte_sums[offsets[:-1]]), pa.array([s for _, s in found], pa.float64()), pa.array(good, pa.bool_()),
@@ -102,10 +103,11 @@ def decode_column(coded: DataFrame, pieces: Pieces, ids_col="ids", to="text") ->
     """`coded` with the decoded text as one more column (it must not have one of that name); null ids give null."""
     if to in coded.columns:
         raise ValueError(f"column {to} is there already")
-    shared = settle(coded.sparkSession).sparkContext.broadcast(pieces)
+    sent = share(settle(coded.sparkSession), pieces)
 
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = shared(sent)
         for part in parts:
-            yield pd.Series([None if ids is None else decode(shared.value, ids) for ids in part], dtype=object)
+            yield pd.Series([None if ids is None else decode(known, ids) for ids in part], dtype=object)
 
     return coded.withColumn(to, F.pandas_udf(run, "string")(F.col(ids_col)))
