@@ -122,10 +122,11 @@ def prop_join(props: DataFrame, names: DataFrame, on, marker="Event") -> tuple:
     on = [on] if isinstance(on, str) else list(on)
     side = names.withColumnsRenamed({"name": "side_name", "href": "side_href"})
     opp = names.withColumnsRenamed({"name": "opp_name", "href": "opp_href"})
-    both = props.join(side, [*on, "side_name"], "left").join(opp, [*on, "opp_name"], "left")
     at_event = (F.col("side_name") == marker) & (F.col("opp_name") == marker)
     in_contest = (F.col("side_name") != marker) & (F.col("opp_name") != marker)
-    return both.where(at_event).drop("side_name", "opp_name", "side_href", "opp_href"), both.where(in_contest)
+    # Event-level rows have no entities to attach, so they take no part in the joins.
+    contests = props.where(in_contest).join(side, [*on, "side_name"], "left").join(opp, [*on, "opp_name"], "left")
+    return props.where(at_event).drop("side_name", "opp_name"), contests
 
 
 def pair_merge_first_last(df: DataFrame, by, order, side="_side", opp="_opp") -> DataFrame:
