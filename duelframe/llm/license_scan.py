@@ -15,6 +15,7 @@ if their ids are equal; an empty table gives an empty result; other columns are
 
 import math
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import settle
 
 SHINGLE, CONTAINMENT, MISS = 5, 0.8, 1e-4
+# Windows of up to so many shingles are compared as columns.
+LANES = 8
 # The license statements that are looked for.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -49,10 +52,14 @@ def _template_table(spark, templates):
     return table.select("license", _hashes("words").alias("hashes")).select("license", F.array_distinct(_shingles("hashes")).alias("shingles"))
 
 
+def _positions(values, size=1):
+    """Where `size` elements of the array begin."""
+    return F.when(F.size(values) >= size, F.sequence(F.lit(0), F.size(values) - size)).otherwise(F.array().cast("array<int>"))
+
+
 def _shingles(words):
     """Hashes of the five-word shingles of an array of word hashes; fewer words have none."""
-    starts = F.when(F.size(words) >= SHINGLE, F.sequence(F.lit(0), F.size(words) - SHINGLE)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(*[F.get(F.col(words), i + k) for k in range(SHINGLE)]))
+    return F.transform(_positions(words, SHINGLE), lambda i: F.xxhash64(*[F.get(F.col(words), i + k) for k in range(SHINGLE)]))
 
 
 def _hashes(words):
@@ -67,40 +74,75 @@ def _order(band: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def scan(docs: DataFrame, templates: dict | None = None, id_col="doc_id", text_col="text", containment=CONTAINMENT, miss=MISS) -> DataFrame:
-    """id, license, containment (the best of a window) and first_word (its first position) for each id and license found."""
-    spark = settle(docs.sparkSession)
-    known = _template_table(spark, TEMPLATES if templates is None else templates).collect()  # as many as the caller gave
-    lengths = sorted({len(r.shingles) for r in known})
-    words = F.array_remove(F.split(F.lower(F.col(text_col)), r"[^\p{L}\p{N}]+"), "")
-    rows = docs.select(F.col(id_col).alias("id"), _hashes(words).alias("hashes")).filter(F.size("hashes") >= SHINGLE)
-    rows = rows.select("id", _shingles("hashes").alias("s"))
-    if not known:
-        return rows.select(F.col("id").alias(id_col), F.lit("").alias("license"), F.lit(0.0).alias("containment"), F.lit(0).alias("first_word")).limit(0)
-    longest = lengths[-1]
-    placed = rows.select("id", "s", F.explode(F.sequence(F.lit(0), F.size("s") - 1)).alias("at"))
-    ahead = [F.get(F.col("s"), F.col("at") + k) for k in range(longest)]
-    hits, found = [], []
+def _retrieval(known, lengths, containment, miss, minimum):
+    """(any band hit, names of the retrieved templates); `minimum(m, constant)` is a window's least hash in that order."""
+    hit, retrieved = F.lit(False), []
     for m in lengths:
         own = [r for r in known if len(r.shingles) == m]
         for band in range(bands(m, containment, miss)):
             constant = _order(band)
-            least = {}
+            least: dict = {}
             for r in own:
-                signed = min((h ^ constant for h in r.shingles))
-                least.setdefault(signed, []).append(r.license)
-            turned = [h.bitwiseXOR(F.lit(constant)) for h in ahead[:m]]
-            value = turned[0] if m == 1 else F.least(*turned)
-            hits.append(value.isin(list(least)))
-            found.append((value, least))
-    any_hit = hits[0]
-    for h in hits[1:]:
-        any_hit = any_hit | h
-    # Few windows are left: which templates did the bands retrieve?
-    retrieved = F.array_distinct(F.flatten(F.array(*[
-        F.coalesce(*[F.when(value == F.lit(v), F.array(*map(F.lit, names))) for v, names in least.items()], F.array().cast("array<string>"))
-        for value, least in found])))
-    candidates = placed.filter(any_hit).select("id", "at", F.slice("s", F.col("at") + 1, longest).alias("window"), F.explode(retrieved).alias("license"))
+                least.setdefault(min(h ^ constant for h in r.shingles), []).append(r.license)
+            value = minimum(m, constant)
+            hit = hit | F.coalesce(value.isin(list(least)), F.lit(False))
+            retrieved += [F.when(value == F.lit(v), F.array(*map(F.lit, names))).otherwise(F.array().cast("array<string>")) for v, names in least.items()]
+    return hit, F.array_distinct(F.flatten(F.array(*retrieved)))
+
+
+def _short(rows, known, lengths, containment, miss):
+    """Windows of up to LANES shingles: every position becomes a row with the shingles that follow, compared as columns."""
+    lanes = [f"s{k}" for k in range(lengths[-1])]
+    ahead = F.transform(_positions("s"), lambda i: F.struct(i.alias("at"), *[F.get("s", i + k).alias(lane) for k, lane in enumerate(lanes)]))
+    placed = rows.select("id", F.inline(ahead))
+
+    def minimum(m, constant):
+        turned = [F.col(lane).bitwiseXOR(F.lit(constant)) for lane in lanes[:m]]
+        return turned[0] if m == 1 else F.least(*turned)
+
+    hit, retrieved = _retrieval(known, lengths, containment, miss, minimum)
+    return placed.filter(hit).select("id", "at", F.array_compact(F.array(*lanes)).alias("window"), F.explode(retrieved).alias("license"))
+
+
+def _long(rows, known, lengths, containment, miss):
+    """Longer windows: least hashes of all windows by doubling their width; positions that no band hits become no rows."""
+    made: dict = {}
+
+    def minima(rows, m, constant):
+        """Adds the column of least hashes of the windows of m shingles, the last ones cut short."""
+        name = f"m{len(made)}"
+        made[m, constant] = name
+        rows = rows.withColumn(name, F.transform("s", lambda h: h.bitwiseXOR(F.lit(constant))))
+        width = 1
+        while width < m:
+            step = min(width, m - width)
+            rows = rows.withColumn(name, F.zip_with(F.col(name), F.slice(name, F.lit(step + 1), F.size(name)), lambda x, y: F.least(x, y)))
+            width += step
+        return rows
+
+    for m in lengths:
+        for band in range(bands(m, containment, miss)):
+            rows = minima(rows, m, _order(band))
+    at = _positions("s")
+    hit = lambda i: _retrieval(known, lengths, containment, miss, lambda m, c: F.get(F.col(made[m, c]), i))
+    rows = rows.withColumn("at", F.explode(F.filter(at, lambda i: hit(i)[0])))
+    return rows.select("id", "at", F.slice("s", F.col("at") + 1, lengths[-1]).alias("window"), F.explode(hit(F.col("at"))[1]).alias("license"))
+
+
+def scan(docs: DataFrame, templates: dict | None = None, id_col="doc_id", text_col="text", containment=CONTAINMENT, miss=MISS) -> DataFrame:
+    """id, license, containment (the best of a window) and first_word (its first position) for each id and license found."""
+    spark = settle(docs.sparkSession)
+    known = _template_table(spark, TEMPLATES if templates is None else templates).collect()  # as many as the caller gave
+    words = F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}\p{N}]+", " ")), " ")
+    rows = docs.select(F.col(id_col).alias("id"), _hashes(words).alias("hashes")).select("id", _shingles("hashes").alias("s"))
+    found = []
+    for way, fits in ((_short, lambda m: m <= LANES), (_long, lambda m: m > LANES)):
+        own = [r for r in known if fits(len(r.shingles))]
+        if own:
+            found.append(way(rows, own, sorted({len(r.shingles) for r in own}), containment, miss))
+    if not found:
+        return rows.select(F.col("id").alias(id_col), F.lit("").alias("license"), F.lit(0.0).alias("containment"), F.lit(0).alias("first_word")).limit(0)
+    candidates = reduce(DataFrame.unionByName, found)
     table = F.create_map(*[x for r in known for x in (F.lit(r.license), F.array(*map(F.lit, r.shingles)))])
     wanted = F.element_at(table, F.col("license"))
     held = F.size(F.array_intersect(F.slice("window", F.lit(1), F.size(wanted)), wanted)) / F.size(wanted)
