@@ -5,10 +5,11 @@ tables are all side * side pairs of a key of one and a key of the other, so 2 *
 tables of 2 * rows each. A pair of similarity s meets in some table with probability (1 - (1 - s**rows)**side)**2:
 0.9999 at s = 0.8 with rows = 3, side = 14, and more often the more similar it is. Every link is confirmed on full sets.
 
-Within a table's bucket, rows are compared with the bucket's first row and their neighbour in the bucket's order; only
-rows of different components meet. The first round orders by id, each later one by a hash of row, bucket and round, and
-rounds go on until one finds no new link, so no bucket's pairs are listed. Rows of a first-side key that is very
-frequent are spread over several sub-buckets, dealt differently in every table.
+Within a table's bucket, rows of different components meet: in the first round each with the bucket's least id, in the
+later ones with its neighbour in an order that is another in every bucket and round. After `orders` rounds over all
+buckets, further rounds visit the buckets of rows whose component has just changed, until no component changes. So no
+bucket's pairs are listed, and a pair has a chance in each of the many tables it shares. Rows of a first-side key that is
+very frequent are spread over several sub-buckets, dealt differently in every table.
 
 Defined results: a null or blank text has no shingles and is linked with nothing; equal shingle sets are linked; a row
 without an id is never linked, its component is null and it stays; rows that share an id are one document; an empty
@@ -26,7 +27,7 @@ from duelframe.session import materialize
 
 from .common import WordHashes, parts, settle, shingle_hashes
 
-SIZE, PERCENT, SIDE, ROWS = 2, 80, 14, 3
+SIZE, PERCENT, SIDE, ROWS, ORDERS = 2, 80, 14, 3, 3
 
 
 def _sets(rows, shingle):
@@ -100,13 +101,13 @@ def _shared(batches):
         yield from held.to_batches()
 
 
-def _meetings(percent, neighbours):
-    """Rows sorted by bucket and order: (later, first) and, with `neighbours`, (later, previous) of different components
-    whose sizes allow a link."""
+def _meetings(percent, with_first):
+    """Rows sorted by bucket and order: pairs of each row and the bucket's first (or its neighbour), of different components
+    and of sizes that allow a link."""
     names = ("bucket", "node", "component", "n")
 
     def run(batches):
-        lead = {c: np.empty(0, np.int64) for c in names}  # first and last row of the bucket that is still open
+        lead = {c: np.empty(0, np.int64) for c in names}  # the row of the open bucket that the next ones meet
         for batch in batches:
             col = {c: np.concatenate([lead[c], batch.column(c).to_numpy()]) for c in names}
             size = len(col["bucket"])
@@ -115,17 +116,16 @@ def _meetings(percent, neighbours):
             begins = np.ones(size, bool)
             begins[1:] = col["bucket"][1:] != col["bucket"][:-1]
             first = np.maximum.accumulate(np.where(begins, np.arange(size), 0))
-            later = np.nonzero(~begins)[0]
-            pairs = [(later, first[later])] + ([(later, later - 1)] if neighbours else [])
-            x, y = (np.concatenate(side) for side in zip(*pairs))
+            x = np.nonzero(~begins)[0]
+            y = first[x] if with_first else x - 1
             less, most = np.minimum(col["n"][x], col["n"][y]), np.maximum(col["n"][x], col["n"][y])
             good = (col["component"][x] != col["component"][y]) & (100 * less >= percent * most)
             u, v = col["node"][x[good]], col["node"][y[good]]
             pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], 1), axis=0)
             if len(pairs):
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
-            ends = [first[-1], size - 1] if first[-1] != size - 1 else [size - 1]
-            lead = {c: col[c][ends] for c in names}
+            last = first[-1] if with_first else size - 1
+            lead = {c: col[c][last:last + 1] for c in names}
     return run
 
 
@@ -168,7 +168,7 @@ def connect(links: DataFrame) -> DataFrame:
         labels = after
 
 
-def components(docs: DataFrame, id_col="doc_id", text_col="text", size=SIZE, percent=PERCENT, side=SIDE, rows=ROWS, hot_share=2000, hot_least=20_000) -> DataFrame:
+def components(docs: DataFrame, id_col="doc_id", text_col="text", size=SIZE, percent=PERCENT, side=SIDE, rows=ROWS, orders=ORDERS, hot_share=2000, hot_least=20_000) -> DataFrame:
     """A row for each document: id, n_shingles, component_id (the least id reachable over links), kept."""
     spark = settle(docs.sparkSession)
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -182,30 +182,37 @@ def components(docs: DataFrame, id_col="doc_id", text_col="text", size=SIZE, per
     sets = base.join(wanted, base["id"] == wanted["node"], "left_semi").mapInArrow(_full_sets(size), "node long, digest binary, items array<long>")
     sets = sets.join(classes.select("digest", F.col("node").alias("own")), "digest").filter("own = node").select("node", "items")
     sets = materialize(sets, "near-sets")
-    labels, links, round_no = None, None, 0
+    labels, round_no = None, 0
+    left = sets.select(F.col("node").alias("u"), F.col("items").alias("x"))
+    right = sets.select(F.col("node").alias("v"), F.col("items").alias("y"))
+    common = F.size(F.array_intersect("x", "y"))
+    linked = F.lit(100) * common >= F.lit(percent) * (F.size("x") + F.size("y") - common)
+    visited = met
     while True:
-        placed = met if labels is None else met.join(labels, "node", "left")
+        placed = visited if labels is None else visited.join(labels, "node", "left")
         component = F.col("node") if labels is None else F.coalesce("component", "node")
         order = F.col("node") if round_no == 0 else F.xxhash64("node", "key", F.lit(round_no))
         placed = placed.select(F.col("key").alias("bucket"), "node", component.alias("component"), "n", order.alias("order"))
         placed = placed.repartition(parts(spark), "bucket").sortWithinPartitions("bucket", "order", "node")
-        pairs = placed.mapInArrow(_meetings(percent, round_no > 0), "u long, v long").distinct()
-        left = sets.select(F.col("node").alias("u"), F.col("items").alias("x"))
-        right = sets.select(F.col("node").alias("v"), F.col("items").alias("y"))
-        common = F.size(F.array_intersect("x", "y"))
-        linked = F.lit(100) * common >= F.lit(percent) * (F.size("x") + F.size("y") - common)
+        pairs = placed.mapInArrow(_meetings(percent, round_no == 0), "u long, v long").distinct()
         new = materialize(pairs.join(left, "u").join(right, "v").filter(linked).select("u", "v"), "near-links")
         round_no += 1
-        if new.isEmpty():
+        if round_no >= orders and new.isEmpty():
             break
-        links = new if labels is None else new.unionByName(labels.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")))
-        labels = connect(links)
+        before = labels
+        if before is not None:
+            new = new.unionByName(before.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")))
+        labels = connect(new)
+        if round_no >= orders:
+            moved = labels if before is None else labels.join(before.withColumnRenamed("component", "before"), "node", "left").filter(
+                F.col("component") != F.coalesce("before", "node"))
+            touched = met.join(moved.select("node"), "node", "left_semi").select("key").distinct()
+            visited = met.join(touched, "key", "left_semi")
     ends = classes.select("digest", "node")
-    if labels is not None:
-        ends = ends.join(labels, "node", "left")
-        ends = ends.select("digest", F.coalesce("component", "node").alias("component"))
-    else:
+    if labels is None:
         ends = ends.select("digest", F.col("node").alias("component"))
+    else:
+        ends = ends.join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     found = info.select("id", "n", "digest").join(ends, "digest", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
