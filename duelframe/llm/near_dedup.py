@@ -5,11 +5,13 @@ tables are all side * side pairs of a key of one and a key of the other, so 2 *
 tables of 2 * rows each. A pair of similarity s meets in some table with probability (1 - (1 - s**rows)**side)**2:
 0.9999 at s = 0.8 with rows = 3, side = 14, and more often the more similar it is. Every link is confirmed on full sets.
 
-Within a table's bucket, rows of different components meet: in the first round each with the bucket's least id, in the
-later ones with its neighbour in an order that is another in every bucket and round. After `orders` rounds over all
-buckets, further rounds visit the buckets of rows whose component has just changed, until no component changes. So no
-bucket's pairs are listed, and a pair has a chance in each of the many tables it shares. Rows of a first-side key that is
-very frequent are spread over several sub-buckets, dealt differently in every table.
+Within a table's bucket, rows of different components meet. Rounds join what is alike at little cost: in the first each
+row meets the bucket's least id, in the later ones its neighbour in an order that is another in every bucket and round;
+after `orders` rounds over all buckets, further rounds visit the buckets of rows whose component has just changed, until
+no component changes. Then every two rows of a bucket that are still of different components meet: a large bucket is cut
+into blocks of about `block` rows, and every two blocks meet in a task of their own. Of these pairs only those go on whose
+sizes, and whose least possible difference by a parity sketch, allow a link; both bounds are exact. Rows of a first-side
+key that is very frequent are spread over several sub-buckets, dealt differently in every table.
 
 Defined results: a null or blank text has no shingles and is linked with nothing; equal shingle sets are linked; a row
 without an id is never linked, its component is null and it stays; rows that share an id are one document; an empty
@@ -27,7 +29,13 @@ from duelframe.session import materialize
 
 from .common import WordHashes, parts, settle, shingle_hashes
 
-SIZE, PERCENT, SIDE, ROWS, ORDERS = 2, 80, 14, 3, 3
+SIZE, PERCENT, SIDE, ROWS, ORDERS, BLOCK = 2, 80, 14, 3, 3, 2000
+# Cells of a set's parity sketch: one bit for each, whether the set has an odd number of members in it.
+CELLS = 512
+# Pairs of a task that are handed on at once.
+PAIRS = 100_000
+# Rows that are gathered before their pairs are made.
+GATHERED = 5_000
 
 
 def _sets(rows, shingle):
@@ -51,6 +59,7 @@ def _sketches(shingle, side, rows):
             sizes = np.array([len(s) for s in found], dtype=np.int64)
             full = np.nonzero(sizes)[0]
             keys = np.zeros((len(found), 2 * side), np.uint64)
+            parity = np.zeros((len(found), CELLS // 8), np.uint8)
             if len(full):
                 flat = np.concatenate([found[i] for i in full])
                 starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
@@ -61,11 +70,15 @@ def _sketches(shingle, side, rows):
                         joint = joint * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(flat * (a * np.uint64(2) + np.uint64(1)) + b, starts)
                         joint ^= joint >> np.uint64(32)
                     keys[full, k] = joint
+                cell = np.repeat(np.arange(len(full)), sizes[full]) * CELLS + (flat & np.uint64(CELLS - 1)).astype(np.int64)
+                odd = np.bincount(cell, minlength=len(full) * CELLS) & 1
+                parity[full] = np.packbits(odd.reshape(len(full), CELLS).astype(np.uint8), axis=1)
             keys = keys.astype(np.int64)
             digests = pa.array([_digest(s) if len(s) else None for s in found], pa.binary())
             offsets = pa.array(np.arange(len(found) + 1) * side, pa.int32())
             lists = [pa.ListArray.from_arrays(offsets, pa.array(keys[:, o:o + side].ravel())) for o in (0, side)]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), digests, *lists], names=["id", "n", "digest", "a", "b"])
+            parities = pa.array([p.tobytes() for p in parity], pa.binary())
+            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), digests, *lists, parities], names=["id", "n", "digest", "a", "b", "parity"])
     return run
 
 
@@ -129,6 +142,74 @@ def _meetings(percent, with_first):
     return run
 
 
+def _crossings(percent):
+    """Rows sorted by bucket and its two blocks p <= q: every pair across the blocks (within it, if they are one), of
+    different components, whose sizes and parities allow a link.
+
+    Cells of different parity hold a member that only one set has, so their number is at most that of such members; a
+    linked pair has at most (100 - percent) / (100 + percent) of both sizes of them."""
+    names = ("bucket", "p", "q", "own", "node", "component", "n")
+
+    def pairs_of(col, parity):
+        size = len(col["bucket"])
+        begins = np.ones(size, bool)
+        begins[1:] = (col["bucket"][1:] != col["bucket"][:-1]) | (col["p"][1:] != col["p"][:-1]) | (col["q"][1:] != col["q"][:-1])
+        group = np.cumsum(begins)
+        x, lag, held, count = np.arange(size), 0, [], 0
+        while len(x):
+            lag += 1
+            x = x[x + lag < size]
+            x = x[group[x + lag] == group[x]]
+            y = x + lag
+            n, m = col["n"][x], col["n"][y]
+            good = (col["component"][x] != col["component"][y]) & ((col["p"][x] == col["q"][x]) | (col["own"][x] != col["own"][y]))
+            good &= 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+            u, v, most = x[good], y[good], (n + m)[good] * (100 - percent)
+            near = np.bitwise_count(parity[u] ^ parity[v]).sum(1, dtype=np.int64) * (100 + percent) <= most
+            if near.any():
+                u, v = col["node"][u[near]], col["node"][v[near]]
+                held.append(np.stack([np.minimum(u, v), np.maximum(u, v)], 1))
+                count += len(u)
+            if held and (count >= PAIRS or not len(x)):
+                found = np.unique(np.concatenate(held), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["u", "v"])
+                held, count = [], 0
+
+    def run(batches):
+        held, wanted = None, GATHERED
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            if len(held) < wanted:
+                continue
+            # The last group waits for its end.
+            group = np.stack([held.column(c).to_numpy() for c in names[:3]])
+            other = np.nonzero((group != group[:, -1:]).any(0))[0]
+            if len(other):
+                yield from meet(held.slice(0, other[-1] + 1))
+                held = held.slice(other[-1] + 1)
+            wanted = len(held) + GATHERED
+        if held is not None and len(held):
+            yield from meet(held)
+
+    def meet(table):
+        parity = np.frombuffer(b"".join(table.column("parity").to_pylist()), np.uint64).reshape(len(table), -1)
+        yield from pairs_of({c: table.column(c).to_numpy() for c in names}, parity)
+    return run
+
+
+def _crossed(placed: DataFrame, classes: DataFrame, percent: int, block: int) -> DataFrame:
+    """(u, v): every two rows of different components of a bucket that may be linked; `placed` has bucket, node, component, n."""
+    counts = placed.groupBy("bucket").agg(F.count("*").alias("met"), F.min("component").alias("least"), F.max("component").alias("most"))
+    counts = counts.filter("least <> most").select("bucket", F.ceil(F.col("met") / block).cast("int").alias("blocks"))
+    rows = placed.join(counts, "bucket").join(classes.select("node", "parity"), "node")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("bucket", "node"), "blocks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "component", "n", "parity")
+    rows = rows.repartition(parts(placed.sparkSession), "bucket", "p", "q").sortWithinPartitions("bucket", "p", "q", "node")
+    return rows.mapInArrow(_crossings(percent), "u long, v long").distinct()
+
+
 def _tables(classes: DataFrame, hot_share: int, hot_least: int) -> DataFrame:
     """(key, node, n): a row for each class and table. At most side * hot_share first-side keys can be frequent, so the
     list of them is bounded whatever the input."""
@@ -168,13 +249,13 @@ def connect(links: DataFrame) -> DataFrame:
         labels = after
 
 
-def components(docs: DataFrame, id_col="doc_id", text_col="text", size=SIZE, percent=PERCENT, side=SIDE, rows=ROWS, orders=ORDERS, hot_share=2000, hot_least=20_000) -> DataFrame:
+def components(docs: DataFrame, id_col="doc_id", text_col="text", size=SIZE, percent=PERCENT, side=SIDE, rows=ROWS, orders=ORDERS, block=BLOCK, hot_share=2000, hot_least=20_000) -> DataFrame:
     """A row for each document: id, n_shingles, component_id (the least id reachable over links), kept."""
     spark = settle(docs.sparkSession)
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    info = materialize(base.mapInArrow(_sketches(size, side, rows), "id long, n long, digest binary, a array<long>, b array<long>"), "near-sketches")
+    info = materialize(base.mapInArrow(_sketches(size, side, rows), "id long, n long, digest binary, a array<long>, b array<long>, parity binary"), "near-sketches")
     classes = info.filter("digest is not null and id is not null").groupBy("digest").agg(
-        F.min("id").alias("node"), F.any_value("n").alias("n"), F.any_value("a").alias("a"), F.any_value("b").alias("b"))
+        F.min("id").alias("node"), F.any_value("n").alias("n"), F.any_value("a").alias("a"), F.any_value("b").alias("b"), F.any_value("parity").alias("parity"))
     classes = materialize(classes, "near-classes")
     tables = _tables(classes, hot_share, hot_least).repartition(parts(spark), "key").sortWithinPartitions("key")
     met = materialize(tables.mapInArrow(_shared, tables.schema).select("key", "node", "n"), "near-met")
@@ -188,26 +269,39 @@ def components(docs: DataFrame, id_col="doc_id", text_col="text", size=SIZE, per
     common = F.size(F.array_intersect("x", "y"))
     linked = F.lit(100) * common >= F.lit(percent) * (F.size("x") + F.size("y") - common)
     visited = met
-    while True:
-        placed = visited if labels is None else visited.join(labels, "node", "left")
+
+    def placed_in(rows, key, *more):
         component = F.col("node") if labels is None else F.coalesce("component", "node")
+        rows = rows if labels is None else rows.join(labels, "node", "left")
+        return rows.select(F.col(key).alias("bucket"), "node", component.alias("component"), "n", *more)
+
+    def confirmed(pairs):
+        return materialize(pairs.join(left, "u").join(right, "v").filter(linked).select("u", "v"), "near-links")
+
+    def joined(links):
+        """The labels that `links` and the labels so far make."""
+        if labels is None:
+            return connect(links)
+        return connect(links.unionByName(labels.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))))
+
+    while True:
         order = F.col("node") if round_no == 0 else F.xxhash64("node", "key", F.lit(round_no))
-        placed = placed.select(F.col("key").alias("bucket"), "node", component.alias("component"), "n", order.alias("order"))
+        placed = placed_in(visited, "key", order.alias("order"))
         placed = placed.repartition(parts(spark), "bucket").sortWithinPartitions("bucket", "order", "node")
         pairs = placed.mapInArrow(_meetings(percent, round_no == 0), "u long, v long").distinct()
-        new = materialize(pairs.join(left, "u").join(right, "v").filter(linked).select("u", "v"), "near-links")
+        new = confirmed(pairs)
         round_no += 1
         if round_no >= orders and new.isEmpty():
             break
-        before = labels
-        if before is not None:
-            new = new.unionByName(before.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")))
-        labels = connect(new)
+        before, labels = labels, joined(new)
         if round_no >= orders:
             moved = labels if before is None else labels.join(before.withColumnRenamed("component", "before"), "node", "left").filter(
                 F.col("component") != F.coalesce("before", "node"))
             touched = met.join(moved.select("node"), "node", "left_semi").select("key").distinct()
             visited = met.join(touched, "key", "left_semi")
+    new = confirmed(_crossed(placed_in(met, "key"), classes, percent, block))
+    if not new.isEmpty():
+        labels = joined(new)
     ends = classes.select("digest", "node")
     if labels is None:
         ends = ends.select("digest", F.col("node").alias("component"))

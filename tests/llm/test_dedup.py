@@ -1,6 +1,9 @@
+import random
 from collections import defaultdict
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from duelframe.llm import exact_dedup, near_dedup
@@ -108,3 +111,37 @@ def test_near_empty(spark):
 def test_connect_long_chain(spark):
     links = settle(spark).createDataFrame([(k + 1, k) for k in range(70)] + [(200, 201), (201, 202)], "u long, v long")
     assert {r.node: r.component for r in near_dedup.connect(links).collect()} == {**{k: 0 for k in range(71)}, 200: 200, 201: 200, 202: 200}
+
+
+def crowd_rows(n=500, paragraphs=100, taken=90):
+    """Documents of most of the same paragraphs: they share most buckets, and few pairs are links."""
+    draw = random.Random(1)
+    return [(k, " ".join(f"p{j}_{w}" for j in sorted(draw.sample(range(paragraphs), taken)) for w in range(2))) for k in range(n)]
+
+
+def expected_crowd(rows, side, minhashes):
+    """Components over the links that share a bucket of a table."""
+    batch = pa.RecordBatch.from_pydict({"id": [k for k, _ in rows], "text": [t for _, t in rows]})
+    made = next(iter(near_dedup._sketches(2, side, minhashes)([batch])))
+    a, b = (np.array(made.column(c).to_pylist()) for c in ("a", "b"))
+    meet = (a[:, None] == a).any(2) & (b[:, None] == b).any(2)
+    sets = [sets_of(t, 2) for _, t in rows]
+    number = {s: k for k, s in enumerate(sorted(set().union(*sets)))}
+    held = np.zeros((len(sets), len(number)), np.float32)
+    for k, members in enumerate(sets):
+        held[k, [number[s] for s in members]] = 1
+    both, size = held @ held.T, held.sum(1)
+    links = np.argwhere(meet & (100 * both >= 80 * (size[:, None] + size - both)))
+    component = np.arange(len(rows))
+    while (component[links[:, 1]] != component[links[:, 0]]).any():
+        np.minimum.at(component, links[:, 0], component[links[:, 1]])
+    return component
+
+
+@pytest.mark.parametrize("settings", [{}, {"block": 20}])
+def test_near_links_in_a_crowd(spark, settings):
+    rows = crowd_rows()
+    expected = expected_crowd(rows, 1, 1)
+    assert 10 < (expected != np.arange(len(rows))).sum() < 250
+    found = {r.doc_id: r.component_id for r in near_dedup.components(docs(spark, rows), side=1, rows=1, **settings).collect()}
+    assert [found[k] for k, _ in rows] == expected.tolist()
