@@ -10,8 +10,9 @@ row meets the bucket's least id, in the later ones its neighbour in an order tha
 after `orders` rounds over all buckets, further rounds visit the buckets of rows whose component has just changed, until
 no component changes. Then every two rows of a bucket that are still of different components meet: a large bucket is cut
 into blocks of about `block` rows, and every two blocks meet in a task of their own. Of these pairs only those go on whose
-sizes, and whose least possible difference by a parity sketch, allow a link; both bounds are exact. Rows of a first-side
-key that is very frequent are spread over several sub-buckets, dealt differently in every table.
+sizes, and whose least possible difference by a parity sketch, allow a link; both bounds are exact. A bucket that is
+itself very frequent is dealt into sub-buckets for the cheap rounds only, differently in every table; the blocks are those
+of the whole bucket, so that its sub-buckets meet.
 
 Defined results: a null or blank text has no shingles and is linked with nothing; equal shingle sets are linked; a row
 without an id is never linked, its component is null and it stays; rows that share an id are one document; an empty
@@ -211,20 +212,26 @@ def _crossed(placed: DataFrame, classes: DataFrame, percent: int, block: int) ->
 
 
 def _tables(classes: DataFrame, hot_share: int, hot_least: int) -> DataFrame:
-    """(key, node, n): a row for each class and table. At most side * hot_share first-side keys can be frequent, so the
-    list of them is bounded whatever the input."""
+    """(key, whole, node, n): a row for each class and table; `key` is the bucket or, of a very frequent one, a sub-bucket, and
+    `whole` then the bucket. At most side * hot_share first-side keys and side**2 * hot_share buckets can be frequent, so
+    the lists of them are bounded whatever the input."""
     total = classes.count()
     hot_rows = max(hot_least, total // hot_share)
     sided = classes.select("node", "n", F.posexplode("a").alias("i", "ka"), "b")
+    bucket = F.xxhash64("i", "j", "ka", "kb").alias("bucket")
     if total > hot_rows:
-        hot = sided.groupBy("i", "ka").agg(F.count("*").alias("met")).filter(F.col("met") > hot_rows)
-        hot = hot.select("i", "ka", F.ceil(F.col("met") / hot_rows).cast("int").alias("ways"))
-        sided = sided.join(F.broadcast(hot), ["i", "ka"], "left")
+        hot = sided.groupBy("i", "ka").agg(F.count("*").alias("met")).filter(F.col("met") > hot_rows).select("i", "ka")
+        crowded = sided.join(F.broadcast(hot), ["i", "ka"], "left_semi").select("i", "ka", F.posexplode("b").alias("j", "kb"))
+        large = crowded.groupBy(bucket).agg(F.count("*").alias("met")).filter(F.col("met") > hot_rows)
+        large = large.select("bucket", F.ceil(F.col("met") / hot_rows).cast("int").alias("ways"))
+        paired = sided.select("node", "n", "i", "ka", F.posexplode("b").alias("j", "kb")).select("node", "n", bucket)
+        paired = paired.join(F.broadcast(large), "bucket", "left")
     else:
-        sided = sided.withColumn("ways", F.lit(None).cast("int"))
-    paired = sided.select("node", "n", "i", "ka", "ways", F.posexplode("b").alias("j", "kb"))
-    sub = F.when(F.col("ways").isNotNull(), F.pmod(F.xxhash64("node", "i", "j"), F.col("ways"))).otherwise(F.lit(0))
-    return paired.select(F.xxhash64("i", "j", "ka", "kb", sub).alias("key"), "node", "n", F.lit(False).alias("more"))
+        paired = sided.select("node", "n", "i", "ka", F.posexplode("b").alias("j", "kb")).select("node", "n", bucket, F.lit(None).cast("int").alias("ways"))
+    split = F.col("ways").isNotNull()
+    key = F.when(split, F.xxhash64("bucket", F.pmod(F.xxhash64("node", "bucket"), "ways"))).otherwise(F.col("bucket"))
+    # A row alone in its sub-bucket has others in the whole one.
+    return paired.select(key.alias("key"), F.when(split, F.col("bucket")).alias("whole"), "node", "n", split.alias("more"))
 
 
 def connect(links: DataFrame) -> DataFrame:
@@ -258,7 +265,7 @@ def components(docs: DataFrame, id_col="doc_id", text_col="text", size=SIZE, per
         F.min("id").alias("node"), F.any_value("n").alias("n"), F.any_value("a").alias("a"), F.any_value("b").alias("b"), F.any_value("parity").alias("parity"))
     classes = materialize(classes, "near-classes")
     tables = _tables(classes, hot_share, hot_least).repartition(parts(spark), "key").sortWithinPartitions("key")
-    met = materialize(tables.mapInArrow(_shared, tables.schema).select("key", "node", "n"), "near-met")
+    met = materialize(tables.mapInArrow(_shared, tables.schema).select("key", "whole", "node", "n"), "near-met")
     wanted = met.select("node").distinct()
     sets = base.join(wanted, base["id"] == wanted["node"], "left_semi").mapInArrow(_full_sets(size), "node long, digest binary, items array<long>")
     sets = sets.join(classes.select("digest", F.col("node").alias("own")), "digest").filter("own = node").select("node", "items")
@@ -273,7 +280,7 @@ def components(docs: DataFrame, id_col="doc_id", text_col="text", size=SIZE, per
     def placed_in(rows, key, *more):
         component = F.col("node") if labels is None else F.coalesce("component", "node")
         rows = rows if labels is None else rows.join(labels, "node", "left")
-        return rows.select(F.col(key).alias("bucket"), "node", component.alias("component"), "n", *more)
+        return rows.select(key.alias("bucket"), "node", component.alias("component"), "n", *more)
 
     def confirmed(pairs):
         return materialize(pairs.join(left, "u").join(right, "v").filter(linked).select("u", "v"), "near-links")
@@ -286,7 +293,7 @@ def components(docs: DataFrame, id_col="doc_id", text_col="text", size=SIZE, per
 
     while True:
         order = F.col("node") if round_no == 0 else F.xxhash64("node", "key", F.lit(round_no))
-        placed = placed_in(visited, "key", order.alias("order"))
+        placed = placed_in(visited, F.col("key"), order.alias("order"))
         placed = placed.repartition(parts(spark), "bucket").sortWithinPartitions("bucket", "order", "node")
         pairs = placed.mapInArrow(_meetings(percent, round_no == 0), "u long, v long").distinct()
         new = confirmed(pairs)
@@ -299,7 +306,7 @@ def components(docs: DataFrame, id_col="doc_id", text_col="text", size=SIZE, per
                 F.col("component") != F.coalesce("before", "node"))
             touched = met.join(moved.select("node"), "node", "left_semi").select("key").distinct()
             visited = met.join(touched, "key", "left_semi")
-    new = confirmed(_crossed(placed_in(met, "key"), classes, percent, block))
+    new = confirmed(_crossed(placed_in(met, F.coalesce("whole", "key")), classes, percent, block))
     if not new.isEmpty():
         labels = joined(new)
     ends = classes.select("digest", "node")

@@ -138,7 +138,7 @@ def expected_crowd(rows, side, minhashes):
     return component
 
 
-@pytest.mark.parametrize("settings", [{}, {"block": 20}])
+@pytest.mark.parametrize("settings", [{}, {"block": 20}, {"hot_least": 5, "hot_share": 100}])
 def test_near_links_in_a_crowd(spark, settings):
     rows = crowd_rows()
     expected = expected_crowd(rows, 1, 1)
