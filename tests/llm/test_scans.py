@@ -52,6 +52,12 @@ def test_literals_of_sensitive_names():
     assert literal_texts("password = changeme\nsecret='xxxxxxxxxxxx'\napi_key: aaaaaaaaaaaa") == []
 
 
+def test_short_literals_and_long_names():
+    assert literal_texts('db_pass = "k2Jd93mQ"') == literal_texts("pwd: k2Jd93mQ") == literal_texts("hmac_key: k2Jd93mQ") == ["k2Jd93mQ"]
+    assert literal_texts("salt = k2Jdk79J") == ["k2Jdk79J"] and literal_texts("salt = aaaaaaab") == []
+    assert literal_texts("a." * 200 + "secret = q8Zr71LmX0pA") == ["q8Zr71LmX0pA"]
+
+
 def test_constants_are_propagated():
     text = 'seed = "q8Zr71LmX0pA"\nother = seed\nsettings.password = other\n'
     assert literal_texts(text) == ["q8Zr71LmX0pA"]
