@@ -4,7 +4,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, license_scan, mixing, near_dedup, preferences, secret_scan, sentencepiece_codec, token_counts, topk_search
+from . import exact_dedup, language_id, license_scan, mixing, near_dedup, prefix_trie, preferences, secret_scan, sentencepiece_codec, token_counts, topk_search
 from .common import documents, settle
 
 QUERIES, SQL = {}, {}
@@ -156,6 +156,38 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(documents(spark, sf_dir))
 
 
+@_query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(settle(spark).read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+# The recursive hash is CRC-32, bit by bit, of the decimal digits; -1 stands for a shift.
+SQL["op11_prefix_trie"] = """
+WITH placed AS MATERIALIZED (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos,
+    {'r': coalesce(role, ''), 't': coalesce(text, '')} AS said FROM conversations WHERE conv_id IS NOT NULL),
+own AS MATERIALIZED (SELECT c, list(said ORDER BY pos) AS turns FROM placed GROUP BY c),
+hashed AS MATERIALIZED (
+  SELECT c, turns, c - c % 5 AS b, xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(c::VARCHAR, ''),
+    lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END) END), 4294967295) % 9 AS h FROM own),
+rebuilt AS MATERIALIZED (
+  SELECT a.c, list_concat(coalesce(o.turns[1:a.h], []), a.turns[a.h + 1:]) AS turns FROM hashed a LEFT JOIN own o ON o.c = a.b),
+prefixes AS (SELECT c, len(turns) AS n, unnest(range(0, len(turns) + 1)) AS depth, turns FROM rebuilt),
+nodes AS MATERIALIZED (
+  SELECT depth, turns[1:depth] AS path, min(c) AS conv_id, count(*) AS n_convs,
+    coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = depth), '') AS ends,
+    CASE WHEN depth = 0 THEN 0 ELSE strlen(any_value(turns[depth].t)) END AS bytes FROM prefixes GROUP BY 1, 2),
+children AS (SELECT depth - 1 AS depth, path[1:depth - 1] AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1, 2),
+marked AS MATERIALIZED (SELECT nodes.*, coalesce(children.n, 0) AS n_children FROM nodes LEFT JOIN children USING (depth, path)),
+above AS (SELECT path[1:k] AS path, n_children = 0 AS leaf, (n_convs - 1) * bytes AS saved FROM (SELECT *, unnest(range(0, depth + 1)) AS k FROM marked)),
+below AS (SELECT path, count(*) FILTER (leaf) AS n_leaves, sum(saved) AS saved_tokens FROM above GROUP BY path)
+SELECT m.conv_id::BIGINT AS conv_id, m.depth::BIGINT AS depth, p.conv_id::BIGINT AS parent_conv_id, m.n_convs, m.n_children, n_leaves,
+  saved_tokens::BIGINT AS saved_tokens, sha256(m.ends) AS ends_sha256
+FROM marked m JOIN below ON below.path = m.path LEFT JOIN nodes p ON p.depth = m.depth - 1 AND p.path = m.path[1:m.depth - 1] AND m.depth > 0
+"""
+
+
 @_query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)

@@ -33,4 +33,4 @@ def test_twin(spark, twin, name):
 
 
 def test_every_operator_is_registered():
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{n}" for n in range(1, 11)} | {"pipeline"}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{n}" for n in range(1, 14)} | {"pipeline"}
