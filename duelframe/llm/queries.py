@@ -4,7 +4,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, license_scan, mixing, near_dedup, prefix_trie, preferences, secret_scan, sentencepiece_codec, token_counts, topk_search
+from . import exact_dedup, language_id, license_scan, mixing, near_dedup, prefix_trie, preferences, secret_scan, sentencepiece_codec, source_divergence, token_counts, topk_search
 from .common import documents, settle
 
 QUERIES, SQL = {}, {}
@@ -188,6 +188,39 @@ FROM marked m JOIN below ON below.path = m.path LEFT JOIN nodes p ON p.depth = m
 """
 
 
+@_query
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.divergence(documents(spark, sf_dir))
+
+
+SQL["op12_source_divergence"] = r"""
+WITH docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+uses AS MATERIALIZED (SELECT id, lang, source, t, count(*) AS n FROM (SELECT id, lang, source, unnest(w) AS t FROM docs) GROUP BY ALL),
+kept AS MATERIALIZED (SELECT lang, t FROM uses GROUP BY ALL HAVING count(*) >= 3),
+groups AS MATERIALIZED (SELECT DISTINCT lang, source FROM docs),
+counts AS MATERIALIZED (SELECT lang, source, t, sum(n)::BIGINT AS n FROM uses JOIN kept USING (lang, t) GROUP BY ALL),
+sizes AS MATERIALIZED (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+totals AS (SELECT lang, source, sum(n)::BIGINT AS total FROM counts GROUP BY ALL),
+p AS MATERIALIZED (
+  SELECT g.lang, g.source, k.t, coalesce(c.n, 0) AS n, 1 + 1000000000 * (coalesce(c.n, 0) + 1) // (coalesce(total, 0) + v) AS p
+  FROM groups g JOIN kept k ON k.lang = g.lang JOIN sizes ON sizes.lang = g.lang LEFT JOIN totals ON totals.lang = g.lang AND totals.source = g.source
+  LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.t = k.t),
+q AS MATERIALIZED (
+  SELECT lang, t, 1 + 1000000000 * (n + 1) // (sum(n) OVER (PARTITION BY lang)::BIGINT + v) AS q
+  FROM (SELECT lang, t, sum(n)::BIGINT AS n FROM counts GROUP BY ALL) JOIN sizes USING (lang)),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p)::BIGINT AS value FROM p a JOIN p b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY ALL),
+terms AS (SELECT lang, source, t AS item, (p - q) * (p - q) // q AS value FROM p JOIN q USING (lang, t) WHERE n > 0 AND p > q),
+found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+  UNION ALL SELECT lang, source, 'term', item, value FROM terms)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM found
+QUALIFY part = 'pair' OR rank <= 200
+"""
+
+
 @_query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
