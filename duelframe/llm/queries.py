@@ -4,7 +4,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, license_scan, mixing, near_dedup, prefix_trie, preferences, secret_scan, sentencepiece_codec, source_divergence, token_counts, topk_search
+from . import exact_dedup, language_id, license_scan, mixing, near_dedup, prefix_trie, preferences, secret_scan, sentencepiece_codec, source_divergence, token_counts, topk_search, toxicity
 from .common import documents, settle
 
 QUERIES, SQL = {}, {}
@@ -221,6 +221,11 @@ QUALIFY part = 'pair' OR rank <= 200
 """
 
 
+@_query
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(documents(spark, sf_dir), settle(spark).read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 @_query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
