@@ -30,8 +30,10 @@ from duelframe.session import materialize
 from .common import parts, settle, share, shared, spread, text_or_empty
 
 LEAST, SCALE, TOP = 3, 1_000_000_000, 200
-HEAD_BYTES, SHARD_KEYS, SLOT_BYTES = 64 << 20, 1 << 16, 64 << 20
-TILE, TERM_SHARDS, HELD = 64, 64, 200_000
+HEAD_BYTES, SHARD_KEYS, SLOT_BYTES = 64 << 20, 1 << 16, 128 << 20
+TILE, TERM_SHARDS = 64, 64
+# Terms, and words, that a task counts before it hands them on or adds them to its slots; rows of a tile taken at once.
+HELD, HELD_WORDS, TILE_ROWS = 500_000, 1 << 24, 50_000
 
 # A-Z to a-z; what ends a term to a space.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -46,22 +48,28 @@ def _bytes(column):
     return column.cast(pa.binary()).to_pylist()
 
 
-def _rows(counts, names):
-    """A batch of (key columns..., n) of a dict or list of ((key...), n)."""
-    keys = list(zip(*[k for k, _ in counts])) or [()] * (len(names) - 1)
-    return pa.RecordBatch.from_arrays([*[pa.array(k, pa.binary()) for k in keys], pa.array([n for _, n in counts], pa.int64())], names=names)
+def _rows(names, keys, terms, numbers):
+    """A batch of constant keys, then terms and their numbers."""
+    n = len(numbers)
+    columns = [*[pa.repeat(pa.scalar(k, pa.binary()), n) for k in keys], terms if isinstance(terms, pa.Array) else pa.array(terms, pa.binary()), pa.array(numbers, pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, names=names)
 
 
 def _frequencies(batches):
     """(lang, term, docs) of a task's documents, handed on whenever `HELD` terms are held."""
     by: dict = {}
+
+    def out():
+        for lang, counter in by.items():
+            yield _rows(["lang", "term", "docs"], [lang], list(counter), list(counter.values()))
+
     for batch in batches:
         for lang, text in zip(_bytes(batch.column(0)), _bytes(batch.column(1))):
             by.setdefault(lang, Counter()).update(set(terms_of(text)))
         if sum(map(len, by.values())) >= HELD:
-            yield _rows([((lang, t), n) for lang, c in by.items() for t, n in c.items()], ["lang", "term", "docs"])
+            yield from out()
             by = {}
-    yield _rows([((lang, t), n) for lang, c in by.items() for t, n in c.items()], ["lang", "term", "docs"])
+    yield from out()
 
 
 def kept_terms(rows: DataFrame, least=LEAST) -> DataFrame:
@@ -145,6 +153,7 @@ class Slots:
         self.starts = np.minimum(self.starts, len(self.bits) - 1)
         self.rank = np.cumsum(self.bits, dtype=np.int32) - 1
         self.keys = pa.array(keys, pa.binary())
+        self.terms = pa.array([k[k.rindex(b"\0") + 1:] for k in keys], pa.binary())
         langs = np.array([k[:k.rindex(b"\0")] for k in keys], object)
         self.place, self.of_lang = np.empty(len(keys), np.int64), {}
         for lang in set(langs):
@@ -194,18 +203,15 @@ def _recount(sent, with_tail, slot_bytes):
     def run(batches):
         slots = shared(sent)
         dense: dict = {}
-        room = slot_bytes
+        counts: dict = {}
+        room, words, added = slot_bytes, 0, 0
 
         def listed(lang, source, places, numbers):
-            start = len(lang) + 1
-            terms = [k[start:] for k in slots.keys.take(pa.array(slots.of_lang[lang][places])).to_pylist()]
-            return [((lang, source, t), int(n)) for t, n in zip(terms, numbers)]
+            return _rows(names, [lang, source], slots.terms.take(pa.array(slots.of_lang[lang][places])), numbers)
 
-        for batch in batches:
-            counts: dict = {}
-            for lang, source, text in zip(*map(_bytes, batch.columns)):
-                counts.setdefault(lang, {}).setdefault(source, Counter()).update(terms_of(text))
-            out = []
+        def add():
+            """The counted terms go to their slots; what has none there is handed on."""
+            nonlocal room
             for lang, by_source in counts.items():
                 terms = list(set().union(*by_source.values()))
                 at = slots.find([_keyed(lang, t) for t in terms])
@@ -215,23 +221,41 @@ def _recount(sent, with_tail, slot_bytes):
                     places = np.fromiter(map(place.__getitem__, counter), np.int64, len(counter))
                     numbers = np.fromiter(counter.values(), np.int64, len(counter))
                     known = places >= 0
-                    if with_tail:
-                        out += [((lang, source, t), n) for (t, n), k in zip(counter.items(), known) if not k]
+                    if with_tail and not known.all():
+                        yield _rows(names, [lang, source], [t for t, k in zip(counter, known.tolist()) if not k], numbers[~known])
                     places, numbers = places[known], numbers[known]
                     if not len(places):
                         continue
-                    if (lang, source) not in dense and 8 * len(slots.of_lang[lang]) <= room:
-                        dense[lang, source] = np.zeros(len(slots.of_lang[lang]), np.int64)
-                        room -= dense[lang, source].nbytes
+                    size = 4 * len(slots.of_lang[lang])
+                    if (lang, source) not in dense and size <= room:
+                        dense[lang, source] = np.zeros(size // 4, np.uint32)
+                        room -= size
                     if (lang, source) in dense:
-                        dense[lang, source][places] += numbers  # the terms of a batch's group are distinct
+                        dense[lang, source][places] += numbers.astype(np.uint32)  # distinct terms, distinct places
                     else:
-                        out += listed(lang, source, places, numbers)
-            if out:
-                yield _rows(out, names)
-        for (lang, source), numbers in dense.items():
-            places = np.nonzero(numbers)[0]
-            yield _rows(listed(lang, source, places, numbers[places]), names)
+                        yield listed(lang, source, places, numbers)
+
+        def emptied():
+            for (lang, source), numbers in dense.items():
+                places = np.nonzero(numbers)[0]
+                for at in range(0, len(places), 1 << 18):
+                    part = places[at:at + (1 << 18)]
+                    yield listed(lang, source, part, numbers[part].astype(np.int64))
+
+        for batch in batches:
+            for lang, source, text in zip(*map(_bytes, batch.columns)):
+                terms = terms_of(text)
+                words += len(terms)
+                counts.setdefault(lang, {}).setdefault(source, Counter()).update(terms)
+            if words >= HELD_WORDS or sum(len(c) for by in counts.values() for c in by.values()) >= HELD:
+                yield from add()
+                added += words
+                counts, words = {}, 0
+                if added >= 1 << 31:  # before a slot of 32 bits can be full
+                    yield from emptied()
+                    dense, room, added = {}, slot_bytes, 0
+        yield from add()
+        yield from emptied()
     return run
 
 
@@ -276,56 +300,73 @@ def _tiles(block):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()])],
                                           names=["lang", "s", "t", "value", "seen", "plain"])
 
-    def run(batches):
-        key, header, sides, sums, seen, held = None, [], None, None, 0, []
-
-        def add(terms):
-            """terms: [(term, source, share)], whole terms."""
-            nonlocal seen
-            term_no, at, no = {}, [], []
-            for term, _, _ in terms:
-                no.append(term_no.setdefault(term, len(term_no)))
-            seen += len(term_no)
+    def opened(key, sources, plain):
+        """The sides of a tile from its header, and sums for its two directions (one, if it lies on the diagonal)."""
+        sides = {}
+        for side in dict.fromkeys(key[1:3]):
+            own = np.nonzero(sources // block == side)[0]
+            own = own[np.argsort(sources[own])]
+            sides[side] = (sources[own].tolist(), plain[own], sources[own])
+        pairs = dict.fromkeys([(key[1], key[2]), (key[2], key[1])])
+        return sides, {(p, q): np.zeros((len(sides[p][0]), len(sides[q][0])), np.int64) for p, q in pairs}
+
+    def add(sides, sums, term_no, sources, shares):
+        """Whole terms, numbered from 0."""
+        for begin in range(0, int(term_no[-1]) + 1, 4096):
+            here = (term_no >= begin) & (term_no < begin + 4096)
+            no, own, p = term_no[here] - begin, sources[here], shares[here]
             matrix = {}
-            for side, (sources, plain, where) in sides.items():
-                m = matrix[side] = np.repeat(plain[None, :], len(term_no), 0)
-                at = [(k, where[s], p) for k, (_, s, p) in zip(no, terms) if s in where]
-                if at:
-                    k, j, p = zip(*at)
-                    m[list(k), list(j)] = p
-            for (p, q), total in sums.items():
-                a, b = matrix[p], matrix[q]
+            for side, (_, plain, known) in sides.items():
+                m = matrix[side] = np.repeat(plain[None, :], int(no[-1]) + 1, 0)
+                mine = own // block == side
+                m[no[mine], np.searchsorted(known, own[mine])] = p[mine]
+            for (x, y), total in sums.items():
+                a, b = matrix[x], matrix[y]
                 for i in range(a.shape[1]):
                     total[i] += ((a[:, i, None] - b) ** 2 // b).sum(0)
 
-        def opened():
-            found = {}
-            for side in dict.fromkeys(key[1:3]):
-                own = sorted(h for h in header if h[0] // block == side)
-                found[side] = ([s for s, _ in own], np.array([p for _, p in own], np.int64), {s: j for j, (s, _) in enumerate(own)})
-            pairs = dict.fromkeys([(key[1], key[2]), (key[2], key[1])])
-            return found, {(p, q): np.zeros((len(found[p][0]), len(found[q][0])), np.int64) for p, q in pairs}
-
-        for batch in batches:
-            for lang, x, y, shard, term, source, share_ in zip(*[c.to_pylist() for c in batch.columns]):
-                if (lang, x, y, shard) != key:
+    def run(batches):
+        key, sides, sums, seen, held = None, None, None, 0, []
+
+        def rows(table, last):
+            """Takes all but the last (key, term) of the table, or all; returns the rest."""
+            nonlocal key, sides, sums, seen
+            n = len(table)
+            keys = [table.column(c).to_numpy() for c in ("x", "y", "shard")]
+            lang, term = table.column("lang").combine_chunks(), table.column("term").combine_chunks()
+            new_key = np.ones(n, bool)
+            new_key[1:] = pc.not_equal(lang[1:], lang[:-1]).to_numpy(zero_copy_only=False)
+            for k in keys:
+                new_key[1:] |= k[1:] != k[:-1]
+            same_term = pc.fill_null(pc.equal(term[1:], term[:-1]), False).to_numpy(zero_copy_only=False)
+            absent = pc.is_null(term).to_numpy(zero_copy_only=False)
+            new_term = new_key.copy()
+            new_term[1:] |= ~(same_term | (absent[1:] & absent[:-1]))
+            stop = n if last else int(np.nonzero(new_term)[0][-1])
+            source, p = table.column("no").to_numpy().astype(np.int64), table.column("p").to_numpy()
+            begins = np.nonzero(new_key[:stop])[0]
+            for begin, end in zip(begins, np.append(begins[1:], stop)):
+                now = (lang[begin].as_py(), *[int(k[begin]) for k in keys])
+                if now != key:
                     if key is not None:
-                        sides, sums = (sides, sums) if sides else opened()
-                        add(held)
                         yield out(key[0], sides, sums, seen)
-                    key, header, sides, sums, seen, held = (lang, x, y, shard), [], None, None, 0, []
-                if term is None:
-                    header.append((source, share_))
-                    continue
-                if sides is None:
-                    sides, sums = opened()
-                if len(held) >= 4096 and held[-1][0] != term:
-                    add(held)
-                    held = []
-                held.append((term, source, share_))
+                    heads = begin + int(absent[begin:end].sum())
+                    key, seen = now, 0
+                    sides, sums = opened(key, source[begin:heads], p[begin:heads])
+                    begin = heads
+                if begin < end:
+                    no = np.cumsum(new_term[begin:end] | (np.arange(begin, end) == begin)) - 1
+                    seen += int(no[-1]) + 1
+                    add(sides, sums, no, source[begin:end], p[begin:end])
+            return table.slice(stop)
+
+        for batch in batches:
+            held.append(pa.Table.from_batches([batch]))
+            if sum(map(len, held)) >= TILE_ROWS:
+                held = [(yield from rows(pa.concat_tables(held), False))]
+        if sum(map(len, held)):
+            yield from rows(pa.concat_tables(held), True)
         if key is not None:
-            sides, sums = (sides, sums) if sides else opened()
-            add(held)
             yield out(key[0], sides, sums, seen)
     return run
 

@@ -57,7 +57,10 @@ def corpus(seed, sources=7, docs=150, words=60):
 
 
 @pytest.mark.parametrize("settings", [{}, {"head_bytes": 1500, "shard_keys": 5, "slot_bytes": 400, "tile": 2, "term_shards": 3}, {"head_bytes": 0, "tile": 3}])
-def test_against_brute_force(spark, settings):
+def test_against_brute_force(spark, settings, monkeypatch):
+    if settings:
+        monkeypatch.setattr(div, "HELD", 60)
+        monkeypatch.setattr(div, "TILE_ROWS", 40)
     rows = corpus(1)
     assert result(div.divergence(frame(spark, rows), **settings)) == brute(rows)
 
