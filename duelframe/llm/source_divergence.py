@@ -213,17 +213,13 @@ def _recount(sent, with_tail, slot_bytes):
             """The counted terms go to their slots; what has none there is handed on."""
             nonlocal room
             for lang, by_source in counts.items():
-                terms = list(set().union(*by_source.values()))
-                at = slots.find([_keyed(lang, t) for t in terms])
-                at[at >= 0] = slots.place[at[at >= 0]]
-                place = dict(zip(terms, at.tolist()))
                 for source, counter in by_source.items():
-                    places = np.fromiter(map(place.__getitem__, counter), np.int64, len(counter))
+                    places = slots.find([_keyed(lang, t) for t in counter])
                     numbers = np.fromiter(counter.values(), np.int64, len(counter))
                     known = places >= 0
                     if with_tail and not known.all():
                         yield _rows(names, [lang, source], [t for t, k in zip(counter, known.tolist()) if not k], numbers[~known])
-                    places, numbers = places[known], numbers[known]
+                    places, numbers = slots.place[places[known]], numbers[known]
                     if not len(places):
                         continue
                     size = 4 * len(slots.of_lang[lang])
@@ -280,9 +276,10 @@ def group_counts(rows: DataFrame, kept: DataFrame, head_bytes=HEAD_BYTES, slot_b
 
 def _share(count, total, terms, scale):
     """1 + floor(scale * (count + 1) / (total + terms)), exact beyond 64 bits; null without terms."""
-    above = F.lit(scale).cast("decimal(10,0)") * (count + 1).cast("decimal(20,0)")
-    whole = F.call_function("div", above, F.when(terms > 0, (total + terms).cast("decimal(20,0)")))
-    return whole.cast("long") + 1
+    among = F.when(terms > 0, total + terms)
+    short = F.call_function("div", F.lit(scale).cast("long") * (count + 1), among)
+    long = F.call_function("div", F.lit(scale).cast("decimal(10,0)") * (count + 1).cast("decimal(20,0)"), among.cast("decimal(20,0)"))
+    return F.when(count < (1 << 62) // scale, short).otherwise(long.cast("long")) + 1
 
 
 def _tiles(block):

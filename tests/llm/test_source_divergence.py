@@ -91,6 +91,8 @@ def test_perfect_hash_has_no_gap_and_knows_its_keys(spark):
 
 
 def test_shares_beyond_64_bits(spark):
-    rows = settle(spark).createDataFrame([(90_000_000_000_000, 10**14, 10**6)], "n long, total long, terms long")
-    found = rows.select(div._share(rows.n, rows.total, rows.terms, div.SCALE).alias("p")).first().p
-    assert found == 1 + 10**9 * 90_000_000_000_001 // (10**14 + 10**6)
+    edge = (1 << 62) // div.SCALE
+    rows = [(n, 10**14, 10**6) for n in (90_000_000_000_000, edge - 2, edge - 1, edge, edge + 1, 0)] + [(0, 0, 0), (0, 0, 7)]
+    found = settle(spark).createDataFrame(rows, "n long, total long, terms long")
+    found = found.select("*", div._share(found.n, found.total, found.terms, div.SCALE).alias("p")).collect()
+    assert len(found) == 8 and all(r.p == (1 + 10**9 * (r.n + 1) // (r.total + r.terms) if r.terms else None) for r in found)
