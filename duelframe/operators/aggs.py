@@ -49,11 +49,15 @@ def histogram_of_counts(df: DataFrame, cols) -> DataFrame:
 
 def pooled_rate_logit(df: DataFrame, num_cols, den_cols) -> DataFrame:
     """One row: logit of the pooled rate over all pairs; a row counts only where both parts are present."""
+    return df.agg(pooled_rate_logit_of(num_cols, den_cols).alias("logit_rate"))
+
+
+def pooled_rate_logit_of(num_cols, den_cols):
+    """The same as an aggregate, so that many rates share one scan."""
     pairs = list(zip(num_cols, den_cols))
     part = lambda c, n, d: F.coalesce(F.sum(F.when(F.col(n).isNotNull() & F.col(d).isNotNull(), F.col(c))), F.lit(0))
     total = lambda pick: reduce(lambda x, y: x + y, [part(pick(n, d), n, d) for n, d in pairs])
-    sums = df.agg(total(lambda n, d: n).alias("y"), total(lambda n, d: d).alias("n"))
-    return sums.select(logit(F.try_divide("y", "n")).alias("logit_rate"))
+    return logit(F.try_divide(total(lambda n, d: n), total(lambda n, d: d)))
 
 
 def sum_by_period(df: DataFrame, period, cols, max_cols=()) -> DataFrame:

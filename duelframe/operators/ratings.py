@@ -1,39 +1,52 @@
 """Batch-updated ratings of entities.
 
-All contests of a period see the ratings from before the period, so one period is one join plus one sum. Every
-(target, alpha) pair is a `cell`, a key column: a whole grid shares one pass over the periods.
-
-Per period only the entities that took part are read, joined and written, with their rating before and after; the state
-is a compacted table plus the written periods since, merged every COMPACT_EVERY periods. Everything lives in the shared
-folder, so a lost executor costs one period at most, and no plan grows with the number of periods.
+All contests of a period see the ratings from before the period. Every (target, alpha) pair is a `cell`; all cells of an
+entity are one array, so a grid shares one pass and multiplies no rows.
+
+A round takes a window of consecutive periods. Entities that no contest of the window connects do not depend on each
+other, so the connected components of its contests go to tasks, and a task walks through the periods of its components
+with arrays. A window is as long as its largest component is small (`WINDOW_VALUES` ratings): with sparse contests, years
+go in one round on many tasks. A single period that is still too large depends on nothing within itself; its rows are
+split over tasks and their moves summed by entity. The state is a written table of one row an entity, replaced after each
+window, so a lost executor costs one window at most, and no plan grows with the number of windows.
 """
 
+import sys
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from ..functions.dates import week_bucket
 from ..functions.odds import expit, logit
 from ..functions.text import _c
 from ..keys import Keys
-from ..session import materialize, new_path
-from .aggs import group_stddev, pooled_rate_logit
-from .protocols import BINARY, BINARY_OFFSET, REAL, half_step, rating_hook
+from ..session import materialize
+from .aggs import group_stddev, pooled_rate_logit_of
+from .graphs import connected
+from .protocols import BINARY, BINARY_OFFSET, REAL, expit_of, half_step, rating_hook
+
+# Contest rows times cells that one task holds.
+WINDOW_VALUES = 4_000_000
+RATED = ["pred", "side_before", "opp_before", "side_after", "opp_after"]
 
-STATE_SCHEMA = "cell string, entity string, rating double"
-STEP_SCHEMA = "cell string, entity string, before double, rating double, hit boolean"
-HISTORY_SCHEMA = STEP_SCHEMA + ", period string"
-COMPACT_EVERY = 12
-# The entities of one period are broadcast if so many bytes hold them; beyond it they are joined by shuffling.
-BROADCAST_BYTES, ENTITY_BYTES = 64 << 20, 128
+# Functions sent to executors carry their code.
+cloudpickle.register_pickle_by_value(sys.modules["duelframe.operators"])
 
 
 @dataclass
 class RatingResult:
-    """`features`: one row per contest row and cell; `state`: (cell, entity, rating) after the last period."""
+    """`features`: one row per contest row and cell; `state`: (cell, entity, rating) after the last period; `rated`: one row
+    per contest row with an array of all cells, in the order of the grid; `windows`: the rounds that were walked."""
     features: DataFrame
     state: DataFrame
     history: DataFrame
+    rated: DataFrame = None
+    windows: int = 0
 
 
 def period_of(date, period):
@@ -58,109 +71,250 @@ def _grid(targets, alphas):
     return out
 
 
-def _cells(df, keys, grid, offset):
-    """Contest rows x cells in long form."""
-    entries = F.array(*[
-        F.struct(F.lit(c).alias("cell"), F.col(t).cast("double").alias("y"), F.lit(a).alias("alpha")) for c, t, a in grid])
-    offset_col = F.lit(0.0) if offset is None else _c(offset).cast("double")
-    return df.select(*keys.all, offset_col.alias("offset"), F.explode(entries).alias("e")).select(
-        *keys.all, "offset", "e.cell", "e.y", "e.alpha")
-
-
-def _current(spark, base, log):
-    parts = base
-    for part in log:
-        parts = part if parts is None else parts.unionByName(part)
-    if parts is None:
-        return spark.createDataFrame([], STATE_SCHEMA)
-    return parts.groupBy("cell", "entity").agg(F.sum("rating").alias("rating"))
-
-
-class _Step:
-    """The contributions of one period; its expressions are built once and serve every period."""
-
-    def __init__(self, hook):
-        r_side, r_opp = F.coalesce("r_side", F.lit(0.0)), F.coalesce("r_opp", F.lit(0.0))
-        step = hook.delta(F.col("y"), hook.predict(r_side, r_opp, F.col("offset")), F.col("alpha"))
-        self._moves = F.explode(F.array(
-            F.struct(F.col("e_side").alias("entity"), r_side.alias("before"), step.alias("change")),
-            F.struct(F.col("e_opp").alias("entity"), r_opp.alias("before"), (-step).alias("change")))).alias("m")
-
-    def __call__(self, batch, now) -> DataFrame:
-        """(cell, entity, before, change, hit) of every side of every contest row."""
-        side = now.selectExpr("cell", "entity AS e_side", "rating AS r_side")
-        opp = now.selectExpr("cell", "entity AS e_opp", "rating AS r_opp")
-        joined = batch.join(side, ["cell", "e_side"], "left").join(opp, ["cell", "e_opp"], "left")
-        return joined.select("cell", self._moves).selectExpr("cell", "m.entity", "m.before", "m.change", "true AS hit")
-
-
-def _run(long_rows: DataFrame, hook, state: DataFrame = None) -> tuple:
-    """long_rows: row columns plus period, cell, y, alpha, offset, e_side, e_opp. Returns (rows, history, state)."""
-    spark = long_rows.sparkSession
-    # Range partitions on (period, row) split a hot period over several tasks and keep the files of a period few.
-    tie = F.xxhash64("contest", "e_side", "cell")
-    rows = materialize(long_rows.repartitionByRange(F.col("period"), tie), "periods", ["period"])
-    rows = rows.withColumn("period", F.col("period").cast("string"))
-    periods = rows.groupBy("period").count().orderBy("period").collect()  # bounded by the calendar
-    base = None if state is None else materialize(state.select("cell", "entity", "rating"), "state")
-    history_path = new_path(spark, "history")
-    changed = _steps(spark, rows, periods, base, _Step(hook), history_path)
-    entities = rows.select("cell", F.explode(F.array("e_side", "e_opp")).alias("entity")).where("entity is not null").distinct()
-    final = materialize(_current(spark, entities.withColumn("rating", F.lit(0.0)), changed), "state")
-    if not periods:
-        return rows, spark.createDataFrame([], HISTORY_SCHEMA), final
-    hist = spark.read.schema(HISTORY_SCHEMA).parquet(history_path).where("hit")
-    return rows, hist.select("cell", "period", "entity", "before", F.col("rating").alias("after")), final
-
-
-def _sums():
-    return [F.max("before").alias("before"), F.sum("change").alias("change"), F.max("hit").alias("hit")]
-
-
-def _steps(spark, rows, periods, base, step, history_path):
-    """Every period reads and writes only the entities that took part. Returns the tables whose sum is the state."""
-    paths, sums = [], _sums()
-
-    def log():
-        if not paths:
-            return []
-        return [spark.read.schema(STEP_SCHEMA).parquet(*paths).selectExpr("cell", "entity", "rating - before AS rating")]
-
-    for period, n in periods:
-        hint = F.broadcast if 2 * n * ENTITY_BYTES <= BROADCAST_BYTES else (lambda df: df)
-        batch = rows.where(f"period = '{period}'")
-        took = hint(batch.select("cell", F.explode(F.array("e_side", "e_opp")).alias("entity")).distinct())
-        parts = [part.join(took, ["cell", "entity"], "left_semi") for part in ([base] if base is not None else []) + log()]
-        done = step(batch, hint(_current(spark, None, parts))).groupBy("cell", "entity").agg(*sums).where("entity IS NOT NULL")
-        path = f"{history_path}/period={period}"
-        done.selectExpr("cell", "entity", "before", "before + change AS rating", "hit").write.parquet(path)
-        paths.append(path)
-        if len(paths) == COMPACT_EVERY:
-            base, paths = materialize(_current(spark, base, log()), "state"), []
-    return ([base] if base is not None else []) + log()
-
-
-def _with_ratings(rows, hist, hook):
-    keyed = ["cell", "period"]
-    side = hist.withColumnsRenamed({"entity": "e_side", "before": "side_before", "after": "side_after"})
-    opp = hist.withColumnsRenamed({"entity": "e_opp", "before": "opp_before", "after": "opp_after"})
-    both = rows.join(side, [*keyed, "e_side"], "left").join(opp, [*keyed, "e_opp"], "left")
-    zero = F.lit(0.0)
-    both = both.withColumns({c: F.coalesce(c, zero) for c in ("side_before", "side_after", "opp_before", "opp_after")})
-    return both.withColumn("pred", hook.predict(F.col("side_before"), F.col("opp_before"), F.col("offset")))
+# -- in tasks ---------------------------------------------------------------------------------------
+
+def _matrix(column) -> np.ndarray:
+    """A column of equally long lists as rows by cells; null is NaN."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if not len(column):
+        return np.zeros((0, 0))
+    return pc.fill_null(column.flatten(), np.nan).to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _lists(matrix: np.ndarray):
+    offsets = pa.array(np.arange(len(matrix) + 1, dtype=np.int32) * matrix.shape[1])
+    flat = np.ascontiguousarray(matrix).ravel()
+    return pa.ListArray.from_arrays(offsets, pa.array(flat, mask=np.isnan(flat)))
+
+
+def _codes(columns, names) -> list:
+    """Entities as numbers into `names`; null is the last, which no one is."""
+    out = []
+    for c in columns:
+        found = pc.fill_null(pc.index_in(c, value_set=names), len(names)).to_numpy(zero_copy_only=False)
+        out.append(np.asarray(found, np.int64))
+    return out
+
+
+def _walk(hook, given, alphas, limit):
+    """Rows sorted by component: state rows (no period; e_side is the entity, y its ratings) and contest rows. Whole
+    components, as many as `limit` rows allow, are walked through together, period by period."""
+    alphas = np.asarray(alphas, float)
+
+    def walked(table):
+        is_state = pc.is_null(table.column("period"))
+        state, rows = table.filter(is_state), table.filter(pc.invert(is_state))
+        rows = rows.sort_by([("period", "ascending"), ("contest", "ascending"), ("e_side", "ascending")]).combine_chunks()
+        everyone = pa.chunked_array([*rows.column("e_side").chunks, *rows.column("e_opp").chunks, *state.column("e_side").chunks], pa.string())
+        names = pc.drop_null(pc.unique(everyone))
+        side, opp, known = _codes([rows.column("e_side"), rows.column("e_opp"), state.column("e_side")], names)
+        ratings = np.zeros((len(names) + 1, len(alphas)))
+        ratings[known] = _matrix(state.column("y")) if len(known) else 0
+        y, off = _matrix(rows.column("y")), given(_matrix(rows.column("off")))
+        out = np.empty((5, len(rows), len(alphas)))
+        period = rows.column("period").combine_chunks() if len(rows) else pa.array([], pa.string())
+        begins = np.append(np.nonzero(np.append(True, pc.not_equal(period[1:], period[:-1]).to_numpy(zero_copy_only=False)))[0] if len(rows) else [], len(rows)).astype(int)
+        for a, b in zip(begins[:-1], begins[1:]):
+            s, o = side[a:b], opp[a:b]
+            out[1, a:b], out[2, a:b] = ratings[s], ratings[o]
+            part = {k: v[a:b] if len(v) > 1 else v for k, v in off.items()} if isinstance(off, dict) else off[a:b]
+            out[0, a:b] = hook.predict(out[1, a:b], out[2, a:b], part)
+            move = hook.delta(y[a:b], out[0, a:b], alphas)
+            np.add.at(ratings, s, move)
+            np.add.at(ratings, o, -move)
+            ratings[-1] = 0
+            out[3, a:b], out[4, a:b] = ratings[s], ratings[o]
+        for a in range(0, len(rows), 10_000):
+            part = rows.slice(a, 10_000).combine_chunks()
+            kept = [part.column(c).combine_chunks() for c in part.schema.names if c != "component"]
+            yield pa.RecordBatch.from_arrays([*kept, *[_lists(m[a:a + 10_000]) for m in out]],
+                                             names=[*[c for c in part.schema.names if c != "component"], *RATED])
+        # States go out as rows without a period.
+        empty = {"e_side": names, "side_after": _lists(ratings[:-1])}
+        schema = [f for f in table.schema if f.name != "component"] + [pa.field(c, pa.list_(pa.float64())) for c in RATED]
+        if len(names):
+            yield pa.RecordBatch.from_arrays([empty.get(f.name, pa.nulls(len(names), f.type)) for f in schema], schema=pa.schema(schema))
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(pa.Table.from_batches([batch]))
+            size += batch.num_rows
+            if size >= limit:
+                table = pa.concat_tables(held)
+                inside = pc.not_equal(table.column("component"), table.column("component")[-1]).to_numpy()
+                cut = int(inside.sum())  # sorted: all but the last component, which may go on
+                if cut:
+                    yield from walked(table.slice(0, cut))
+                held = [table.slice(cut)]
+                size = len(held[0])
+        if held:
+            yield from walked(pa.concat_tables(held))
+    return run
+
+
+def _apart(hook, given, alphas):
+    """Rows of one period with both ratings before it: the prediction and the row's move, in batches of any size."""
+    alphas = np.asarray(alphas, float)
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                side, opp, y = (_matrix(batch.column(c)) for c in ("side_before", "opp_before", "y"))
+                pred = hook.predict(side, opp, given(_matrix(batch.column("off"))))
+                yield pa.RecordBatch.from_arrays([*batch.columns, _lists(pred), _lists(hook.delta(y, pred, alphas))], names=[*batch.schema.names, "pred", "move"])
+    return run
+
+
+# -- windows of periods -----------------------------------------------------------------------------
+
+def _plus(a, b):
+    return F.zip_with(a, b, lambda x, y: x + y)
+
+
+def _zeros(n):
+    return F.array_repeat(F.lit(0.0), n)
+
+
+class _Walker:
+    def __init__(self, rows: DataFrame, hook, given, alphas, state):
+        self.spark, self.hook, self.given, self.alphas = rows.sparkSession, hook, given, alphas
+        self.rows = materialize(rows.repartitionByRange("period", F.xxhash64("contest", "e_side")), "contests")
+        self.limit = max(1, WINDOW_VALUES // len(alphas))
+        self.state = materialize(state, "state")
+        self.written, self.windows = [], 0
+
+    def run(self):
+        counts = self.rows.groupBy("period").count().orderBy("period").collect()  # bounded by the calendar
+        at, target = 0, 4 * self.limit
+        while at < len(counts):
+            end, size = at, 0
+            while end < len(counts) and (end == at or size + counts[end]["count"] <= target):
+                size += counts[end]["count"]
+                end += 1
+            window = self.rows.where(F.col("period").between(counts[at].period, counts[end - 1].period))
+            placed = self._placed(window, size)
+            if placed is None and end - at > 1:
+                target = max(1, size // 2)
+                continue
+            self._advance(*(self._one_period(window) if placed is None else self._window(window, *placed)))
+            at, target = end, 4 * max(target, size)
+        return self
+
+    def _placed(self, window, size):
+        """(entities with their component, number of tasks); None where the largest component is too large for a task."""
+        entities = window.select(F.explode(F.array("e_side", "e_opp")).alias("node")).where("node is not null").distinct()
+        if size <= self.limit:
+            return entities.withColumn("component", F.lit("")), 1
+        parts = connected(window.select("e_side", "e_opp").distinct(), "e_side", "e_opp")
+        alone = entities.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+        alone = materialize(alone, "components")
+        rows = window.select(F.coalesce("e_side", "e_opp").alias("node")).join(alone, "node").groupBy("component").count()
+        if (rows.agg(F.max("count")).first()[0] or 0) > self.limit:
+            return None
+        return alone, None
+
+    def _window(self, window, placed, tasks):
+        node = F.col("node")
+        if tasks == 1:
+            found = window.withColumn("component", F.lit(""))
+        else:
+            found = window.join(placed, F.coalesce("e_side", "e_opp") == node, "left").drop("node")
+            # Rows of no entity depend on nothing.
+            found = found.withColumn("component", F.coalesce("component", F.concat(F.lit(" "), F.col("contest"))))
+        before = self.state.join(placed, self.state["entity"] == node).select(F.col("entity").alias("e_side"), F.col("ratings").alias("y"), "component")
+        both = found.unionByName(before, allowMissingColumns=True)
+        n = tasks or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        dealt = both.repartition(n, "component").sortWithinPartitions("component")
+        kept = [f for f in dealt.schema.fields if f.name != "component"]
+        out = StructType([StructField(f.name, f.dataType) for f in kept] + [StructField(c, ArrayType(DoubleType())) for c in RATED])
+        done = materialize(dealt.mapInArrow(_walk(self.hook, self.given, self.alphas, self.limit), out), "rated")
+        after = done.where("period is null").select(F.col("e_side").alias("entity"), F.col("side_after").alias("ratings"))
+        return done.where("period is not null"), after
+
+    def _one_period(self, window):
+        n = len(self.alphas)
+        state = self.state.select(F.col("entity").alias("_e"), "ratings")
+        for side in ("side", "opp"):
+            window = window.join(state, F.col(f"e_{side}") == F.col("_e"), "left")
+            window = window.withColumn(f"{side}_before", F.coalesce("ratings", _zeros(n))).drop("_e", "ratings")
+        fields = [StructField(f.name, f.dataType) for f in window.schema.fields] + [StructField(c, ArrayType(DoubleType())) for c in ("pred", "move")]
+        moved = materialize(window.mapInArrow(_apart(self.hook, self.given, self.alphas), StructType(fields)), "moves")
+        back = F.transform("move", lambda x: -x)
+        sides = moved.select(F.explode(F.array(F.struct(F.col("e_side").alias("entity"), "move"), F.struct(F.col("e_opp").alias("entity"), back.alias("move")))).alias("m"))
+        cells = sides.select("m.entity", F.posexplode("m.move").alias("k", "v")).where("entity is not null").groupBy("entity", "k").agg(F.sum("v").alias("v"))
+        total = cells.groupBy("entity").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda x: x["v"]).alias("change"))
+        after = total.join(self.state, "entity", "left").select("entity", _plus(F.coalesce("ratings", _zeros(n)), F.col("change")).alias("ratings"))
+        after = materialize(after, "state-moved")
+        late = after.select(F.col("entity").alias("_e"), "ratings")
+        for side in ("side", "opp"):
+            moved = moved.join(late, F.col(f"e_{side}") == F.col("_e"), "left")
+            moved = moved.withColumn(f"{side}_after", F.coalesce("ratings", _zeros(n))).drop("_e", "ratings")
+        return materialize(moved.drop("move"), "rated"), after
+
+    def _advance(self, rows, after):
+        self.written.append(rows)
+        self.windows += 1
+        rest = self.state.join(after.select("entity"), "entity", "left_anti")
+        self.state = materialize(rest.unionByName(after.select("entity", "ratings")), "state")
+
+
+def _state_arrays(spark, state, cells):
+    """(entity, ratings) of a long (cell, entity, rating) state."""
+    if state is None:
+        return spark.createDataFrame([], "entity string, ratings array<double>")
+    by = F.map_from_entries(F.collect_list(F.struct("cell", "rating")))
+    held = state.where(F.col("cell").isin(cells)).groupBy(F.col("entity").cast("string").alias("entity")).agg(by.alias("m"))
+    return held.select("entity", F.array(*[F.coalesce(F.element_at("m", F.lit(c)), F.lit(0.0)) for c in cells]).alias("ratings"))
+
+
+def rate_arrays(rows: DataFrame, keys: Keys, hook, cells, alphas, given=lambda off: off, state=None) -> tuple:
+    """(rated rows, entities): `rows` has keys.all, period, e_side, e_opp, y and off (arrays by cell; off may have one
+    element); rated rows add the arrays of RATED, entities are (entity, ratings)."""
+    spark = rows.sparkSession
+    plain = rows.withColumnRenamed(keys.contest, "contest").where("period is not null")
+    walker = _Walker(plain, hook, given, alphas, _state_arrays(spark, state, cells)).run()
+    if not walker.written:
+        empty = plain.select("*", *[F.lit(None).cast("array<double>").alias(c) for c in RATED])
+        return empty.withColumnRenamed("contest", keys.contest), walker.state, 0
+    rated = walker.written[0]
+    for more in walker.written[1:]:
+        rated = rated.unionByName(more)
+    return rated.withColumnRenamed("contest", keys.contest), walker.state, walker.windows
+
+
+def _long(rated, cells, *columns, **constants):
+    """A row for each cell of every rated row."""
+    lists = [F.array(*map(F.lit, cells)).alias("cell"), *[F.array(*map(F.lit, v)).alias(c) for c, v in constants.items()], *[F.col(c) for c in columns]]
+    return F.explode(F.arrays_zip(*lists)).alias("z")
+
+
+def _result(rated, entities, keys, cells, windows, features):
+    ends = F.array(
+        F.struct(F.col("e_side").alias("entity"), F.col("side_before").alias("before"), F.col("side_after").alias("after")),
+        F.struct(F.col("e_opp").alias("entity"), F.col("opp_before").alias("before"), F.col("opp_after").alias("after")))
+    # All rows of an entity and period have the same ratings.
+    seen = rated.select("period", F.explode(ends).alias("m")).select("period", "m.*").where("entity is not null")
+    seen = seen.groupBy("entity", "period").agg(F.min("before").alias("before"), F.min("after").alias("after"))
+    history = seen.select("period", "entity", _long(seen, cells, "before", "after")).select("z.cell", "period", "entity", "z.before", "z.after")
+    state = entities.select("entity", F.explode(F.arrays_zip(F.array(*map(F.lit, cells)).alias("cell"), "ratings")).alias("z")).select("z.cell", "entity", F.col("z.ratings").alias("rating"))
+    return RatingResult(features, state, history, rated, windows)
 
 
 def rate(df: DataFrame, keys: Keys, targets, alphas, hook, period="date", state=None, offset=None) -> RatingResult:
-    """Ratings by any hook over a doubled table. Rows of a null entity take part with rating 0 and learn nothing."""
+    """Ratings by any hook over a doubled table. Rows of a null entity take part with rating 0 and learn nothing; a null
+    or NaN target moves nothing; rows without a date are left out."""
     grid = _grid(targets, alphas)
-    long_rows = _cells(df, keys, grid, offset).withColumns({
-        "period": period_of(F.col(keys.date), period),
-        "e_side": F.col(keys.side).cast("string"), "e_opp": F.col(keys.opp).cast("string")})
-    rows, hist, final = _run(_plain_contest(long_rows, keys), hook, state)
-    features = _with_ratings(rows, hist, hook).select(
-        F.col("contest").alias(keys.contest), keys.side, keys.opp, keys.date, "cell", "y", "pred",
-        "side_before", "opp_before", "side_after", "opp_after")
-    return RatingResult(features, final, hist)
+    cells = [c for c, _, _ in grid]
+    offset_col = F.lit(0.0) if offset is None else _c(offset).cast("double")
+    rows = df.select(
+        *keys.all, period_of(F.col(keys.date), period).alias("period"), F.col(keys.side).cast("string").alias("e_side"),
+        F.col(keys.opp).cast("string").alias("e_opp"), F.array(*[F.col(t).cast("double") for _, t, _ in grid]).alias("y"), F.array(offset_col).alias("off"))
+    rated, entities, windows = rate_arrays(rows, keys, hook, cells, [a for _, _, a in grid], state=state)
+    features = rated.select(*keys.all, _long(rated, cells, "y", *RATED)).select(*keys.all, "z.cell", "z.y", *[f"z.{c}" for c in RATED])
+    return _result(rated, entities, keys, cells, windows, features)
 
 
 def rating_real(df, keys=Keys(), targets=(), alphas=0.5, period="date", state=None) -> RatingResult:
@@ -176,54 +330,51 @@ def rating_binary_offset(df, keys=Keys(), targets=(), alphas=0.5, offset="offset
     return rate(df, keys, targets, alphas, BINARY_OFFSET, period, state, offset)
 
 
-# `offset` carries (attempted, intercept), y the landed count; the step is 0.5 * alpha * (landed - attempted * p).
-ACCURACY = rating_hook(lambda off, dfn, given: given["attempted"] * expit(off - dfn + given["intercept"]), half_step)
+# `offset` holds attempted and intercept, y the landed count; the step is 0.5 * alpha * (landed - attempted * p).
+ACCURACY = rating_hook(lambda off, dfn, given: given["attempted"] * expit_of(off - dfn + given["intercept"]), half_step)
 
 
 def rating_accuracy(df: DataFrame, keys=Keys(), pairs=None, alphas=0.5, period="date") -> RatingResult:
     """Offence and defence ratings from landed/attempted counts of a doubled table; `pairs` = {name: (landed, attempted)}.
 
     Contests of a period are updated as one batch and the pooled-rate intercept is part of every prediction;
-    an unobserved row moves nothing, so its ratings are the last known ones. All pairs share one pass.
+    an unobserved row moves nothing, so its ratings are the last known ones. All pairs share one scan for their
+    intercepts and one pass.
     """
-    entries = []
+    sums = df.agg(*[pooled_rate_logit_of([landed], [attempted]).alias(name) for name, (landed, attempted) in pairs.items()]).first()
+    grid, ys, offs = [], [], []
     for name, (landed, attempted) in pairs.items():
-        intercept = pooled_rate_logit(df, [landed], [attempted]).first()[0]
         seen = F.col(landed).isNotNull() & F.col(attempted).isNotNull()
         for cell, _, alpha in _grid([name], alphas):
-            entries.append(F.struct(
-                F.lit(cell).alias("cell"), F.when(seen, F.col(landed)).cast("double").alias("y"), F.lit(alpha).alias("alpha"),
-                F.struct(F.when(seen, F.col(attempted)).cast("double").alias("attempted"),
-                         F.lit(intercept).cast("double").alias("intercept")).alias("offset")))
-    long_rows = df.select(*keys.all, F.explode(F.array(*entries)).alias("e")).select(*keys.all, "e.*").withColumns({
-        "period": period_of(F.col(keys.date), period),
-        "e_side": F.concat(F.lit("off|"), F.col(keys.side).cast("string")),
-        "e_opp": F.concat(F.lit("def|"), F.col(keys.opp).cast("string"))})
-    rows, hist, final = _run(_plain_contest(long_rows, keys), ACCURACY)
-    given = F.col("offset")
-    features = _with_ratings(rows, hist, ACCURACY).select(
-        F.col("contest").alias(keys.contest), keys.side, keys.opp, keys.date, "cell",
-        F.col("y").alias("landed"), given["attempted"].alias("attempted"),
-        expit(F.col("side_before") - F.col("opp_before") + given["intercept"]).alias("p_hat"),
-        F.col("side_before").alias("off_before"), F.col("opp_before").alias("opp_def_before"),
-        F.col("side_after").alias("off_after"), F.col("opp_after").alias("opp_def_after"))
-    return RatingResult(features, final, hist)
-
-
-def _plain_contest(rows, keys):
-    return rows if keys.contest == "contest" else rows.withColumnRenamed(keys.contest, "contest")
+            grid.append((cell, alpha, sums[name]))
+            ys.append(F.when(seen, F.col(landed)).cast("double"))
+            offs.append(F.when(seen, F.col(attempted)).cast("double"))
+    cells, steps, intercepts = (list(x) for x in zip(*grid))
+    shift = np.array([[np.nan if b is None else b for b in intercepts]])
+    rows = df.select(
+        *keys.all, period_of(F.col(keys.date), period).alias("period"), F.concat(F.lit("off|"), F.col(keys.side).cast("string")).alias("e_side"),
+        F.concat(F.lit("def|"), F.col(keys.opp).cast("string")).alias("e_opp"), F.array(*ys).alias("y"), F.array(*offs).alias("off"))
+    rated, entities, windows = rate_arrays(rows, keys, ACCURACY, cells, steps, lambda off: {"attempted": off, "intercept": shift})
+    z = rated.select(*keys.all, _long(rated, cells, "y", "off", *RATED, intercept=intercepts))
+    features = z.select(
+        *keys.all, "z.cell", F.col("z.y").alias("landed"), F.col("z.off").alias("attempted"),
+        expit(F.col("z.side_before") - F.col("z.opp_before") + F.col("z.intercept")).alias("p_hat"),
+        F.col("z.side_before").alias("off_before"), F.col("z.opp_before").alias("opp_def_before"),
+        F.col("z.side_after").alias("off_after"), F.col("z.opp_after").alias("opp_def_after"))
+    return _result(rated, entities, keys, cells, windows, features)
 
 
 def accuracy_features(result: RatingResult, keys: Keys = Keys()) -> DataFrame:
-    """Difference of the two sides' expected accuracies, plain and on the logit scale."""
-    f = result.features
-    mine = f.select(*keys.row, "cell", F.col("p_hat"))
-    other = f.select(F.col(keys.contest), F.col(keys.side).alias(keys.opp), F.col(keys.opp).alias(keys.side), "cell",
-                     F.col("p_hat").alias("p_hat_opp"))
-    both = mine.join(other, [*keys.row, "cell"], "left")
-    return both.select(*keys.row, "cell", "p_hat", "p_hat_opp",
-                       (F.col("p_hat") - F.col("p_hat_opp")).alias("p_diff"),
-                       (logit("p_hat") - logit("p_hat_opp")).alias("logit_diff"))
+    """Difference of the two sides' expected accuracies, plain and on the logit scale; both rows of a contest meet in one
+    aggregate. A contest with one row has nothing to compare."""
+    row = F.struct(F.col(keys.side).alias("side"), F.col(keys.opp).alias("opp"), "p_hat")
+    both = result.features.groupBy(keys.contest, "cell").agg(F.min(row).alias("a"), F.max(row).alias("b"))
+    paired = (F.col("a.side") == F.col("b.opp")) & (F.col("a.opp") == F.col("b.side"))
+    pair = lambda x, y: F.struct(F.col(f"{x}.side").alias(keys.side), F.col(f"{x}.opp").alias(keys.opp), F.col(f"{x}.p_hat").alias("p_hat"),
+                                 F.when(paired, F.col(f"{y}.p_hat")).alias("p_hat_opp"))
+    rows = both.select(keys.contest, "cell", F.explode(F.when(F.col("a") == F.col("b"), F.array(pair("a", "b"))).otherwise(F.array(pair("a", "b"), pair("b", "a")))).alias("r"))
+    return rows.select(keys.contest, "r." + keys.side, "r." + keys.opp, "cell", "r.p_hat", "r.p_hat_opp").withColumns({
+        "p_diff": F.col("p_hat") - F.col("p_hat_opp"), "logit_diff": logit("p_hat") - logit("p_hat_opp")})
 
 
 def rating_predict(df: DataFrame, state: DataFrame, keys: Keys = Keys(), hook=REAL, offset=None) -> DataFrame:
@@ -248,8 +399,7 @@ def rating_multi(df: DataFrame, keys: Keys, alphas: dict, kind="real", period="d
         long_rows = rating_predict(test.select(*keys.all), result.state, keys, hook)
         return long_rows.groupBy(*keys.all).agg(*[F.max(F.when(F.col("cell") == c, F.col("pred"))).alias(f"pred_{c}") for c in cells])
     picks = [("pred", "pred"), ("side", "side_before"), ("opp", "opp_before"), ("updated_side", "side_after"), ("updated_opp", "opp_after")]
-    return result.features.groupBy(*keys.all).agg(
-        *[F.max(F.when(F.col("cell") == c, F.col(col))).alias(f"{name}_{c}") for c in cells for name, col in picks])
+    return result.rated.select(*keys.all, *[F.get(col, F.lit(k)).alias(f"{name}_{c}") for k, c in enumerate(cells) for name, col in picks])
 
 
 def rating_history(result: RatingResult, entity) -> DataFrame:

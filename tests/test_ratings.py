@@ -54,11 +54,10 @@ CASES = {
 }
 
 
-@pytest.mark.parametrize("kind,logged", [("real", False), ("real", True), ("binary", False), ("binary", True), ("offset", False)])
-def test_matches_plain_loop(spark, monkeypatch, kind, logged):
-    if logged:  # periods too large to broadcast, and a compaction in between
-        monkeypatch.setattr(R, "BROADCAST_BYTES", 0)
-        monkeypatch.setattr(R, "COMPACT_EVERY", 3)
+@pytest.mark.parametrize("kind,values", [("real", 4_000_000), ("real", 30), ("real", 8), ("binary", 4_000_000), ("binary", 8), ("offset", 30)])
+def test_matches_plain_loop(spark, monkeypatch, kind, values):
+    # One window; windows of few dates; and single dates that are split.
+    monkeypatch.setattr(R, "WINDOW_VALUES", values)
     fit, pick, predict = CASES[kind]
     rows = table()
     want, power = loop(rows, pick, predict, 0.4)
@@ -74,6 +73,32 @@ def test_matches_plain_loop(spark, monkeypatch, kind, logged):
         assert abs(sum(state.values())) < 1e-9
 
 
+def test_sparse_contests_take_few_rounds(spark, monkeypatch, capsys):
+    """Groups of four entities that never meet another group: all their dates go in one round, on many tasks."""
+    monkeypatch.setattr(R, "WINDOW_VALUES", 400)
+    rng, rows = random.Random(9), []
+    for i in range(800):
+        g = i % 40
+        a, b = rng.sample([f"g{g}-{x}" for x in "abcd"], 2)
+        d = dt.date(2020, 1, 1) + dt.timedelta(days=i // 8)
+        y = rng.gauss(0, 1)
+        rows += [(f"k{i}", a, b, d, y, None, 0.0, 1.0, 2.0), (f"k{i}", b, a, d, -y, None, 0.0, 1.0, 2.0)]
+    rows += [("null", None, "g0-a", dt.date(2020, 2, 1), 1.0, None, 0.0, 1.0, 2.0), ("nulls", None, None, dt.date(2020, 2, 1), 1.0, None, 0.0, 1.0, 2.0)]
+    result = R.rating_real(spark.createDataFrame(rows, SCHEMA), K, ["y"], 0.4)
+    want, power = loop([r for r in rows if r[1]], lambda r: r[0], lambda a, b, o: a - b, 0.4)
+    dates = len({r[3] for r in rows})
+    with capsys.disabled():
+        print(f"\n{result.windows} round(s) for {dates} dates and {len(rows)} rows, at most 400 a task")
+    assert result.windows < dates / 5 and result.rated.count() == len(rows)
+    state = {r.entity: r.rating for r in result.state.collect()}
+    assert set(state) == set(power) and all(abs(state[e] - power[e]) < 1e-9 for e in power if not e.startswith("g0-"))
+
+
+def test_nothing_to_rate(spark):
+    result = R.rating_real(spark.createDataFrame([], SCHEMA), K, ["y"], 0.4)
+    assert result.features.count() == result.state.count() == result.history.count() == 0
+
+
 def test_state_continues(spark):
     rows = table()
     cut = dt.date(2020, 1, 4)
