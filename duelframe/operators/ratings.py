@@ -29,6 +29,7 @@ from ..session import materialize
 from .aggs import group_stddev, pooled_rate_logit_of
 from .graphs import connected
 from .protocols import BINARY, BINARY_OFFSET, REAL, expit_of, half_step, rating_hook
+from .sums import matrix, summed, unpack, upper
 
 # Contest rows times cells that one task holds.
 WINDOW_VALUES = 4_000_000
@@ -415,11 +416,9 @@ def rating_history(result: RatingResult, entity) -> DataFrame:
 def pca_components(df: DataFrame, cols, k, by=None) -> DataFrame:
     """Whitened principal components pc_0.. of scaled columns; rows with a null column get null components.
 
-    The covariance is one aggregate over the table; only that d x d matrix is decomposed on the driver. The sign
+    The covariance is one packed sum over the table; only that d x d matrix is decomposed on the driver. The sign
     of a component is fixed so that its largest loading is positive.
     """
-    import numpy as np
-
     cols = list(cols)
     complete = F.lit(True)
     for c in cols:
@@ -428,11 +427,15 @@ def pca_components(df: DataFrame, cols, k, by=None) -> DataFrame:
     scaled = group_stddev(only, [f"_x_{c}" for c in cols], by)
     xs = [f"_x_{c}_scaled" for c in cols]
     d = len(cols)
-    pairs = [(i, j) for i in range(d) for j in range(i, d)]
-    stats = scaled.agg(*[F.avg(x) for x in xs], *[F.covar_samp(xs[i], xs[j]) for i, j in pairs]).first()
-    mean, cov = np.array(stats[:d], dtype=float), np.zeros((d, d))
-    for (i, j), value in zip(pairs, stats[d:]):
-        cov[i, j] = cov[j, i] = value
+    mean = np.array(scaled.agg(*[F.avg(x) for x in xs]).first(), dtype=float)
+    known = scaled.where(F.col(xs[0]).isNotNull()).select(F.array(*xs).alias("x"))
+
+    def scatter(batch):
+        x = matrix(batch.column(0)) - mean
+        return {0: np.append((x.T @ x)[upper(d)], len(x))}
+
+    sums = summed(known, scatter).get(0, np.zeros(d * (d + 1) // 2 + 1))
+    cov = unpack(sums[:-1], d) / max(sums[-1] - 1, 1)
     values, vectors = np.linalg.eigh(cov)
     order = np.argsort(values)[::-1][:k]
     out = scaled
