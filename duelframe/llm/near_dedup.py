@@ -9,8 +9,11 @@ Within a table's bucket, rows of different components meet. Rounds join what is
 row meets the bucket's least id, in the later ones its neighbour in an order that is another in every bucket and round;
 after `orders` rounds over all buckets, further rounds visit the buckets of rows whose component has just changed, until
 no component changes. Then every two rows of a bucket that are still of different components meet: a large bucket is cut
-into blocks of about `block` rows, and every two blocks meet in a task of their own. Of these pairs only those go on whose
-sizes, and whose least possible difference by a parity sketch, allow a link; both bounds are exact. A bucket that is
+into blocks of about `block` rows, and every two blocks meet in a task of their own. A pair is possible if its sizes, and
+its least possible difference by a parity sketch, allow a link; both bounds are exact. Of the possible pairs a block hands
+on a spanning forest only, so that what leaves it is linear in its rows. The trees of these forests join to crowds, which
+hold both rows of every possible pair; the full sets of a crowd meet once, in blocks again, and of the confirmed links
+those that join two components leave the task, once more a forest. A bucket that is
 itself very frequent is dealt into sub-buckets for the cheap rounds only, differently in every table; the blocks are those
 of the whole bucket, so that its sub-buckets meet.
 
@@ -33,8 +36,6 @@ from .common import WordHashes, parts, settle, shingle_hashes
 SIZE, PERCENT, SIDE, ROWS, ORDERS, BLOCK = 2, 80, 14, 3, 3, 2000
 # Cells of a set's parity sketch: one bit for each, whether the set has an odd number of members in it.
 CELLS = 512
-# Pairs of a task that are handed on at once.
-PAIRS = 100_000
 # Rows that are gathered before their pairs are made.
 GATHERED = 5_000
 
@@ -143,39 +144,58 @@ def _meetings(percent, with_first):
     return run
 
 
-def _crossings(percent):
-    """Rows sorted by bucket and its two blocks p <= q: every pair across the blocks (within it, if they are one), of
-    different components, whose sizes and parities allow a link.
-
-    Cells of different parity hold a member that only one set has, so their number is at most that of such members; a
-    linked pair has at most (100 - percent) / (100 + percent) of both sizes of them."""
-    names = ("bucket", "p", "q", "own", "node", "component", "n")
-
-    def pairs_of(col, parity):
-        size = len(col["bucket"])
-        begins = np.ones(size, bool)
-        begins[1:] = (col["bucket"][1:] != col["bucket"][:-1]) | (col["p"][1:] != col["p"][:-1]) | (col["q"][1:] != col["q"][:-1])
-        group = np.cumsum(begins)
-        x, lag, held, count = np.arange(size), 0, [], 0
-        while len(x):
-            lag += 1
-            x = x[x + lag < size]
-            x = x[group[x + lag] == group[x]]
-            y = x + lag
-            n, m = col["n"][x], col["n"][y]
-            good = (col["component"][x] != col["component"][y]) & ((col["p"][x] == col["q"][x]) | (col["own"][x] != col["own"][y]))
-            good &= 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
-            u, v, most = x[good], y[good], (n + m)[good] * (100 - percent)
-            near = np.bitwise_count(parity[u] ^ parity[v]).sum(1, dtype=np.int64) * (100 + percent) <= most
-            if near.any():
-                u, v = col["node"][u[near]], col["node"][v[near]]
-                held.append(np.stack([np.minimum(u, v), np.maximum(u, v)], 1))
-                count += len(u)
-            if held and (count >= PAIRS or not len(x)):
-                found = np.unique(np.concatenate(held), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["u", "v"])
-                held, count = [], 0
-
+def _possible(col, parity, x, y, percent):
+    """Of pairs of rows of a block: whether they are of different components, across blocks, and sizes and parities allow a
+    link. Cells of different parity hold a member that only one set has, so their number is at most that of such members;
+    a linked pair has at most (100 - percent) / (100 + percent) of both sizes of them."""
+    n, m = col["n"][x], col["n"][y]
+    good = (col["component"][x] != col["component"][y]) & ((col["p"][x] == col["q"][x]) | (col["own"][x] != col["own"][y]))
+    good &= 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+    u, v = x[good], y[good]
+    near = np.bitwise_count(parity[u] ^ parity[v]).sum(1, dtype=np.int64) * (100 + percent) <= (n + m)[good] * (100 - percent)
+    return u[near], v[near]
+
+
+class _Forest:
+    """Rows joined so far; `root` is flat after `settle`."""
+
+    def __init__(self, labels):
+        self.root = labels
+
+    def settle(self):
+        while True:
+            after = self.root[self.root]
+            if (after == self.root).all():
+                return
+            self.root = after
+
+    def find(self, k):
+        while self.root[k] != k:
+            self.root[k] = self.root[self.root[k]]
+            k = self.root[k]
+        return k
+
+    def join(self, u, v) -> bool:
+        u, v = self.find(u), self.find(v)
+        self.root[max(u, v)] = min(u, v)
+        return u != v
+
+
+def _lags(col):
+    """(x, y) of all pairs of rows of equal (group, p, q), a distance after another; rows are sorted by it."""
+    size = len(col["p"])
+    begins = np.ones(size, bool)
+    begins[1:] = (col["group"][1:] != col["group"][:-1]) | (col["p"][1:] != col["p"][:-1]) | (col["q"][1:] != col["q"][:-1])
+    group, x, lag = np.cumsum(begins), np.arange(size), 0
+    while len(x):
+        lag += 1
+        x = x[x + lag < size]
+        x = x[group[x + lag] == group[x]]
+        yield x, x + lag
+
+
+def _gathered(meet):
+    """Hands tables of whole (group, p, q) to `meet`; the last group of a table waits for its end."""
     def run(batches):
         held, wanted = None, GATHERED
         for batch in batches:
@@ -183,8 +203,7 @@ def _crossings(percent):
             held = table if held is None else pa.concat_tables([held, table])
             if len(held) < wanted:
                 continue
-            # The last group waits for its end.
-            group = np.stack([held.column(c).to_numpy() for c in names[:3]])
+            group = np.stack([held.column(c).to_numpy() for c in ("group", "p", "q")])
             other = np.nonzero((group != group[:, -1:]).any(0))[0]
             if len(other):
                 yield from meet(held.slice(0, other[-1] + 1))
@@ -192,23 +211,89 @@ def _crossings(percent):
             wanted = len(held) + GATHERED
         if held is not None and len(held):
             yield from meet(held)
-
-    def meet(table):
-        parity = np.frombuffer(b"".join(table.column("parity").to_pylist()), np.uint64).reshape(len(table), -1)
-        yield from pairs_of({c: table.column(c).to_numpy() for c in names}, parity)
     return run
 
 
-def _crossed(placed: DataFrame, classes: DataFrame, percent: int, block: int) -> DataFrame:
-    """(u, v): every two rows of different components of a bucket that may be linked; `placed` has bucket, node, component, n."""
-    counts = placed.groupBy("bucket").agg(F.count("*").alias("met"), F.min("component").alias("least"), F.max("component").alias("most"))
-    counts = counts.filter("least <> most").select("bucket", F.ceil(F.col("met") / block).cast("int").alias("blocks"))
-    rows = placed.join(counts, "bucket").join(classes.select("node", "parity"), "node")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("bucket", "node"), "blocks").cast("int"))
+def _block(table):
+    parity = np.frombuffer(b"".join(table.column("parity").to_pylist()), np.uint64).reshape(len(table), -1)
+    return {c: table.column(c).to_numpy() for c in ("group", "p", "q", "own", "node", "component", "n")}, parity
+
+
+def _links(u, v):
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
+
+
+def _forests(percent):
+    """Rows of buckets: a spanning forest of the possible pairs of each two blocks. Pairs of rows that are in one tree
+    already are passed over, both being in the crowd."""
+    def meet(table):
+        col, parity = _block(table)
+        forest, found = _Forest(np.arange(len(table))), []
+        for x, y in _lags(col):
+            open_ = forest.root[x] != forest.root[y]
+            if not open_.any():
+                continue
+            for u, v in zip(*(a.tolist() for a in _possible(col, parity, x[open_], y[open_], percent))):
+                if forest.join(u, v):
+                    found.append((u, v))
+            forest.settle()
+        if found:
+            u, v = np.array(found).T
+            yield _links(col["node"][u], col["node"][v])
+    return _gathered(meet)
+
+
+def _confirmed(percent):
+    """Rows of crowds with their full sets: the links that join components, a spanning forest for each two blocks."""
+    def meet(table):
+        col, parity = _block(table)
+        items = [x.values.to_numpy() for x in table.column("items")]
+        # Rows of a component are joined from the start, within their own group and blocks.
+        keys = np.stack([col[c] for c in ("group", "p", "q", "component")], 1)
+        _, first, inverse = np.unique(keys, axis=0, return_index=True, return_inverse=True)
+        forest, found = _Forest(first[inverse.ravel()].astype(np.int64)), []
+        for x, y in _lags(col):
+            open_ = forest.root[x] != forest.root[y]
+            if not open_.any():
+                continue
+            for u, v in zip(*(a.tolist() for a in _possible(col, parity, x[open_], y[open_], percent))):
+                if forest.find(u) != forest.find(v):
+                    common = len(np.intersect1d(items[u], items[v], assume_unique=True))
+                    if 100 * common >= percent * (len(items[u]) + len(items[v]) - common):
+                        forest.join(u, v)
+                        found.append((u, v))
+            forest.settle()
+        if found:
+            u, v = np.array(found).T
+            yield _links(col["node"][u], col["node"][v])
+    return _gathered(meet)
+
+
+def _in_blocks(rows: DataFrame, group: str, block: int) -> DataFrame:
+    """Rows (group, node, component, n) once for each two blocks p <= q of their group that they belong to."""
+    counts = rows.groupBy(group).agg(F.count("*").alias("met"), F.min("component").alias("least"), F.max("component").alias("most"))
+    counts = counts.filter("least <> most").select(group, F.ceil(F.col("met") / block).cast("int").alias("blocks"))
+    rows = rows.join(counts, group).withColumn("own", F.pmod(F.xxhash64(group, "node"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "component", "n", "parity")
-    rows = rows.repartition(parts(placed.sparkSession), "bucket", "p", "q").sortWithinPartitions("bucket", "p", "q", "node")
-    return rows.mapInArrow(_crossings(percent), "u long, v long").distinct()
+    rows = rows.select(F.col(group).alias("group"), F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "component", "n")
+    return rows
+
+
+def _crossed(placed: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """(u, v): links that join every two components with a link between rows of a bucket; `placed` has bucket, node,
+    component, n."""
+    spark = placed.sparkSession
+    dealt = lambda rows: rows.repartition(parts(spark), "group", "p", "q").sortWithinPartitions("group", "p", "q", "node")
+    parity = classes.select("node", "parity")
+    met = _in_blocks(placed, "bucket", block).join(parity, "node")
+    trees = materialize(dealt(met).mapInArrow(_forests(percent), "u long, v long").distinct(), "near-trees")
+    if trees.isEmpty():
+        return trees
+    crowds = connect(trees).select("node", F.col("component").alias("crowd"))
+    own = placed.select("node", "component", "n").distinct()
+    rows = materialize(own.join(crowds, "node"), "near-crowds")
+    rows = _in_blocks(rows, "crowd", block).join(parity, "node").join(sets, "node")
+    return materialize(dealt(rows).mapInArrow(_confirmed(percent), "u long, v long"), "near-links")
 
 
 def _tables(classes: DataFrame, hot_share: int, hot_least: int) -> DataFrame:
@@ -306,7 +391,7 @@ def components(docs: DataFrame, id_col="doc_id", text_col="text", size=SIZE, per
                 F.col("component") != F.coalesce("before", "node"))
             touched = met.join(moved.select("node"), "node", "left_semi").select("key").distinct()
             visited = met.join(touched, "key", "left_semi")
-    new = confirmed(_crossed(placed_in(met, F.coalesce("whole", "key")), classes, percent, block))
+    new = _crossed(placed_in(met, F.coalesce("whole", "key")), classes, sets, percent, block)
     if not new.isEmpty():
         labels = joined(new)
     ends = classes.select("digest", "node")
