@@ -2,7 +2,7 @@
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from .aggs import mark_duplicates
 
@@ -58,3 +58,33 @@ def duplicates_explained(df: DataFrame, keys, flag) -> DataFrame:
 def cardinality_agreement(a: DataFrame, b: DataFrame, key) -> DataFrame:
     count = lambda df, name: df.agg(F.count_distinct(key).alias(name))
     return count(a, "n_a").withColumn("n_b", count(b, "n_b").scalar()).where("n_a <> n_b")
+
+
+class RowsChanged(RuntimeError):
+    """A lookup multiplied or dropped rows."""
+
+
+class RowCounts:
+    """Counts rows before and after lookups inside the job that runs them (observed metrics: no pass of their own, and no
+    change of the plan). `verify`, after that job, raises for a lookup that did not keep its rows, which is one whose
+    right side repeats a key."""
+
+    def __init__(self):
+        self._counted = []
+
+    def _observe(self, df, observation):
+        return df.observe(observation, F.count(F.lit(1)).alias("n"))
+
+    def around(self, df: DataFrame, lookup, name="lookup") -> DataFrame:
+        """`lookup(df)` with both counts observed."""
+        before, after = Observation(), Observation()
+        self._counted.append((name, before, after))
+        return self._observe(lookup(self._observe(df, before)), after)
+
+    def verify(self) -> dict:
+        """{name: rows}."""
+        found = {name: (before.get["n"], after.get["n"]) for name, before, after in self._counted}
+        wrong = {name: n for name, n in found.items() if n[0] != n[1]}
+        if wrong:
+            raise RowsChanged(", ".join(f"{name}: {a} rows became {b}" for name, (a, b) in wrong.items()))
+        return {name: n for name, (n, _) in found.items()}

@@ -10,7 +10,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from ..keys import Keys
-from .aggs import dedupe_by_key, first_nonnull, last_nonnull
+from ..session import materialize
+from .aggs import dedupe_best_row, dedupe_by_key, first_nonnull, last_nonnull, mark_duplicates
+from .checks import RowCounts, RowsChanged
 from .rows import both_orientations
 
 
@@ -75,6 +77,50 @@ def three_source_join(canon: DataFrame, sources, upcoming: DataFrame = None, key
     return out
 
 
+def assemble(canon: DataFrame, stats: DataFrame, stats_map: DataFrame, prices: DataFrame, price_map: DataFrame, upcoming: DataFrame = None,
+             id_map: DataFrame = None, keys: Keys = Keys()) -> tuple:
+    """(table, rows by lookup): canonical contests with the statistics and prices of sources that use ids of their own.
+
+    The maps have side, opp, date of the source, with the suffixes `_stats` and `_prices`, and of the canon. Statistics come
+    once for a row of the canon, which is counted while the table is written, and a map or source that repeats a key
+    raises. `upcoming` contests in the statistics' ids are translated by `id_map` and must find both entities. Markets may
+    list a contest more than once: those rows are kept and marked (`is_dup`). The contest key fills every row.
+    """
+    base = [keys.side, keys.opp, keys.date]
+    guard, own = RowCounts(), lambda suffix: [c + suffix for c in base]
+    found = guard.around(with_suffix(stats, "_stats"), lambda df: left_lookup(df, stats_map.select(*own("_stats"), *base), own("_stats"), own("_stats")), "map of statistics")
+    found = found.na.drop(subset=base)  # statistics of contests that the canon lacks
+    out = guard.around(canon, lambda df: left_lookup(df, found, base, base), "statistics")
+    out = out.withColumn("is_upcoming", F.lit(False))
+    if upcoming is not None:
+        ids = upcoming
+        for c in (keys.side, keys.opp):
+            ids = guard.around(ids, lambda df, c=c: map_column(df, c, id_map, c), f"ids of upcoming {c}")
+        known = F.col(keys.side).isNotNull() & F.col(keys.opp).isNotNull()
+        checked = F.when(known, F.lit(True)).otherwise(F.raise_error(F.lit("an upcoming contest has an unknown entity")).cast("boolean"))
+        out = out.unionByName(ids.withColumn("is_upcoming", checked), allowMissingColumns=True)
+    marked = with_suffix(prices, "_prices").join(price_map.select(*own("_prices"), *base), own("_prices"))
+    marked = mark_duplicates(marked, base, "is_dup")
+    out = left_lookup(out, marked, base, base)
+    out = out.withColumns({"is_dup": F.coalesce("is_dup", F.lit(False)), keys.contest: contest_key_of(keys)})
+    table = materialize(out, "assembled")
+    counts = guard.verify()
+    if not table.where("not is_dup").groupBy(*base).count().where("count > 1").isEmpty():
+        raise RowsChanged("contests repeat that the prices do not explain")
+    return table, counts
+
+
+def contest_key_of(keys: Keys):
+    date = F.date_format(keys.date, "yyyy-MM-dd")
+    sides = [F.col(keys.side).cast("string"), F.col(keys.opp).cast("string")]
+    return F.concat_ws("_", date, F.least(*sides), F.greatest(*sides))
+
+
+def best_rows(table: DataFrame, keys: Keys = Keys()) -> DataFrame:
+    """Of the rows that the prices repeat, the one with the fewest nulls for each side of a contest."""
+    return dedupe_best_row(table, [keys.contest, keys.side, keys.opp])
+
+
 def _day(c):
     return F.datediff(c, F.lit("1970-01-01").cast("date"))
 

@@ -186,3 +186,40 @@ def j16(spark, sf):
     on = ["contest", "side", "opp", "event", "res"]
     df = contests(spark, sf)
     return joins.multi_table_inner([df.select(*on, "side_v"), df.where("flag <> 'N'").select(*on, "side_q"), df.where("method = 'F'").select(*on, "opp_v")], on)
+
+
+def assembly(spark, sf):
+    """The canon, statistics and prices under ids of their own; markets list some contests twice, the second time on a wrong day."""
+    df = contests(spark, sf)
+    base = [K.side, K.opp, K.date]
+    ids = lambda part, suffix, shift=0: part.select(aux_id("side").alias("side" + suffix), aux_id("opp").alias("opp" + suffix), F.date_add("d", 1 + shift).alias("d" + suffix), *base)
+    named = lambda part, suffix: [F.col(c + suffix).alias(c) for c in base]
+    stats_rows = df.where("flag = 'R'")
+    stats = ids(stats_rows, "_x").join(stats_rows.select(*base, "side_q"), base).select(*named(None, "_x"), F.col("side_q").alias("q"))
+    priced_rows = df.where("method = 'F'")
+    twice = priced_rows.where("flag = 'N'")
+    price_map = ids(priced_rows, "_prices").unionByName(ids(twice, "_prices", 20_000))
+    prices = price_map.join(df.select(*base, "side_v"), base).select(*named(None, "_prices"), F.when(F.col("d_prices") == F.date_add("d", 1), F.col("side_v")).alias("v"), F.lit("m").alias("market"))
+    suppliers = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("id"))
+    upcoming = suppliers.select(aux_id("id").alias("side"), F.lit("a7919").alias("opp"), F.lit("2030-01-01").cast("date").alias("d")).where(F.col("side") != F.col("opp"))
+    return df.select("contest", *base, "res"), stats, ids(df, "_stats"), prices, price_map, upcoming, suppliers.select(aux_id("id").alias("a"), "id")
+
+
+@query("J17_assembled_table", dbl_sql(f"""
+, prices AS (SELECT side, opp, d, side_v AS v, flag = 'N' AS dup FROM dbl WHERE method = 'F'
+  UNION ALL SELECT side, opp, d, NULL, TRUE FROM dbl WHERE method = 'F' AND flag = 'N')
+SELECT contest, dbl.side, dbl.opp, CAST(dbl.d AS VARCHAR) AS d, FALSE AS is_upcoming, CASE WHEN flag = 'R' THEN side_q END AS q_stats,
+  p.v AS v_prices, coalesce(p.dup, FALSE) AS is_dup FROM dbl LEFT JOIN prices p ON dbl.side = p.side AND dbl.opp = p.opp AND dbl.d = p.d
+UNION ALL SELECT '2030-01-01_' || least(CAST(s_suppkey AS VARCHAR), '1') || '_' || greatest(CAST(s_suppkey AS VARCHAR), '1'), CAST(s_suppkey AS VARCHAR), '1', '2030-01-01', TRUE, NULL, NULL, FALSE
+FROM supplier WHERE s_suppkey <> 1"""))
+def j17(spark, sf):
+    out, _ = joins.assemble(*assembly(spark, sf), K)
+    return out.select("contest", "side", "opp", day("d").alias("d"), "is_upcoming", "q_stats", "v_prices", "is_dup")
+
+
+@query("J18_best_rows", dbl_sql("""
+SELECT contest, side, opp, CASE WHEN flag = 'R' THEN side_q END AS q_stats, CASE WHEN method = 'F' THEN side_v END AS v_prices FROM dbl"""))
+def j18(spark, sf):
+    canon, stats, stats_map, prices, price_map, _, _ = assembly(spark, sf)
+    out, _ = joins.assemble(canon, stats, stats_map, prices, price_map, keys=K)
+    return joins.best_rows(out, K).select("contest", "side", "opp", "q_stats", "v_prices")
