@@ -29,7 +29,7 @@ from .pieces import Pieces, marked
 MODEL = "piece_bpe_32k.model"
 FIT_DOCS, ROUNDS, MAX_LANGUAGES = 2048, 3, 1000
 _SPLITS = 64
-LETTER = re.compile(r"[^\W\d_]")
+WORDLIKE, LATIN = re.compile(r"[^\W\d_]"), re.compile(r"[A-Za-z]")
 
 
 def held_out(id_col="doc_id"):
@@ -157,6 +157,11 @@ def fit(docs: DataFrame, pieces: Pieces, id_col="doc_id", text_col="text", lang_
     return languages, probabilities
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter; numerals such as a fraction or a Roman one are none, though they are word-like."""
+    return LATIN.search(text) is not None or any(m[0].isalpha() for m in WORDLIKE.finditer(text))
+
+
 def predict(docs: DataFrame, pieces: Pieces, languages: list, probabilities, id_col="doc_id", text_col="text", columns=(), limit=100_000) -> DataFrame:
     """id, `columns`, lang_pred and score (posterior of the prediction under equal priors) of every whole text."""
     spark = settle(docs.sparkSession)
@@ -173,7 +178,7 @@ def predict(docs: DataFrame, pieces: Pieces, languages: list, probabilities, id_
         logs = np.empty((0, len(languages)))
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            lettered = [t is not None and LETTER.search(t) is not None for t in texts]
+            lettered = [t is not None and has_letter(t) for t in texts]
             chunked = [cut.findall(marked(t)) if ok else [] for t, ok in zip(texts, lettered)]
             if len(known) > limit:
                 known, logs = {}, logs[:0]

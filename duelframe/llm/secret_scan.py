@@ -1,9 +1,12 @@
 """Secret scans by assignment-aware lexing.
 
-Each whole text is read as source or configuration syntax: a lexer yields (name, value) pairs from `name = "x"`,
-`name: x`, `"name": "x"`, `name := x` and `name => x`, where a value is a sum of literals and names; names known to hold a
-literal pass it on. A literal counts as a secret by the sensitivity of the names it reaches and its own length and
-entropy. Spans found that way are of kind `literal` and come on top of three base kinds:
+Each whole text is read as source or configuration syntax: a lexer yields (name, value) pairs from `name = x`, `name: x`,
+`name := x`, `name => x`, `"name": x`, `table["name"] = x`, `name: type = x`, `<name>x</name>` and indented blocks behind
+`name: |`. A value is a literal (quoted, with escapes, prefixes, three quotes or backticks, or bare), a sum or row of
+literals and names, or a bracketed list of those, each taken for itself; a name that is called is no literal. Names known to
+hold a literal pass it on: a value refers to the values it is made of, so sums of any length cost what is written. A literal
+counts as a secret by the sensitivity of the names it reaches and its own length and entropy; of a sum the characters are
+counted together. Spans found that way are of kind `literal` and come on top of three base kinds:
 
 assign  a password, secret, token or key name, = or :, and a value of 8 or more characters
 access  AKIA and capitals or digits, 16 or more characters in all
@@ -31,10 +34,24 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "literal")
 
-# A name starts where no name character stands before it, so that a long run is tried once.
-PAIR = re.compile(r"""(?<![\w.-])([A-Za-z_][\w.-]*)["']?[ \t]*(?::=|=>|=(?![=>])|:(?![:=/]))[ \t]*""", re.ASCII)
-TERM = re.compile(r""""([^"\n]*)"|'([^'\n]*)'|([A-Za-z0-9_+/=.$-]+)""")
-PLUS = re.compile(r"[ \t]*\+[ \t]*(?=[\"'A-Za-z_])")
+# A name starts where no name character stands before it, so that a long run is tried once; behind it may stand a quote,
+# the end of a subscript and a type.
+PAIR = re.compile(r"""(?<![\w.-])([A-Za-z_][\w.-]*)["'`]?[ \t]*\]?[ \t]*"""
+                  r"""(?::[ \t]*[A-Za-z_][\w.]*(?:[<\[][\w., ]*[>\]])?\??[ \t]*=(?![=>])|:=|=>|=(?![=>])|:(?![:=/]))[ \t]*""", re.ASCII)
+TAG = re.compile(r"<([A-Za-z_][\w.-]*)(?:[ \t][^<>\n]*)?>([^<>]*)</\1[ \t]*>", re.ASCII)
+BLOCK = re.compile(r"[|>][+-]?[ \t]*\n((?:[ \t]+[^\n]*(?:\n|\Z))+)")
+# Quoted with prefixes, three quotes, one kind of quote or backticks, each with escapes; the last group is a bare word.
+TERM = re.compile(
+    r"[bBfFrRuU]{0,2}(?:"
+    r'"""((?:[^"\\]|\\.|"(?!""))*)"""'
+    r"|'''((?:[^'\\]|\\.|'(?!''))*)'''"
+    r'|"((?:[^"\\\n]|\\.)*)"'
+    r"|'((?:[^'\\\n]|\\.)*)'"
+    r"|`((?:[^`\\]|\\.)*)`)"
+    r"|([A-Za-z0-9_+/=.$-]+)", re.DOTALL)
+BARE = 6
+SPACE, SPACES = re.compile(r"[ \t]*"), re.compile(r"\s*")
+QUOTED = re.compile(r"""[bBfFrRuU]{0,2}["'`]""")
 # How telling a target's name is.
 SENSITIVE = (
     (re.compile(r"passw(or)?d|passphrase|secret|private_?key|api_?key|access_?key|credential|(^|_)(pwd|pass)$"), 1.0),
@@ -51,49 +68,118 @@ def sensitivity(name: str) -> float:
     return max((weight for pattern, weight in SENSITIVE if pattern.search(name)), default=0.0)
 
 
-def strength(value: str) -> float:
-    """0 for what is too short or a placeholder, else up to 1 with entropy."""
-    if len(value) < 8 or PLACEHOLDER.match(value):
-        return 0.0
-    bits = -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
-    return min(1.0, bits / 3.5)
+class Value:
+    """A literal (`span`, `text`) or a sum of values (`parts`): how often each character stands in it, and its length."""
+
+    __slots__ = ("span", "text", "parts", "counts", "length")
+
+    def __init__(self, text=None, span=None, parts=()):
+        self.text, self.span, self.parts = text, span, parts
+        self.counts = Counter(text or "")
+        for part in parts:
+            self.counts.update(part.counts)
+        self.length = len(text) if text is not None else sum(part.length for part in parts)
+
+    def strength(self) -> float:
+        """0 for what is too short or a placeholder, else up to 1 with entropy."""
+        if self.length < 8 or self.text is not None and PLACEHOLDER.match(self.text):
+            return 0.0
+        bits = -sum(n / self.length * math.log2(n / self.length) for n in self.counts.values())
+        return min(1.0, bits / 3.5)
+
+
+def _values(text: str, at: int, held: dict) -> list:
+    """The values at `at`: one, or those of a list."""
+    found, row, depth = [], [], 0
+
+    def close():
+        if row:
+            found.append(row[0] if len(row) == 1 else Value(parts=tuple(row)))
+            row.clear()
+
+    while True:
+        at = (SPACES if depth else SPACE).match(text, at).end()
+        char = text[at:at + 1]
+        if char and char in "([":
+            depth, at = depth + 1, at + 1
+            continue
+        if depth and char and char in ")]":
+            depth, at = depth - 1, at + 1
+            if not depth:
+                break
+            continue
+        if depth and char == ",":
+            close()
+            at += 1
+            continue
+        term = TERM.match(text, at)
+        if term is None:
+            break
+        group, at = term.lastindex, term.end()
+        if group < BARE:
+            row.append(Value(term[group], term.span(group)))
+        elif text[at:at + 1] == "(":
+            break  # a call
+        elif term[BARE] in held:
+            values = held[term[BARE]]
+            if len(values) == 1:
+                row += values
+            else:
+                close()
+                found += values
+        else:
+            row.append(Value(term[BARE], term.span(BARE)))
+        after = (SPACES if depth else SPACE).match(text, at).end()
+        if text[after:after + 1] == "+":
+            at = after + 1
+        elif not QUOTED.match(text, after) and not (depth and text[after:after + 1] in (",", ")", "]")):
+            break
+    close()
+    return [v for v in found if v.length]
+
+
+def _stripped(text: str, start: int) -> list:
+    body = text.strip()
+    start += len(text) - len(text.lstrip())
+    return [Value(body, (start, start + len(body)))] if body else []
 
 
 def lex(text: str):
-    """(name, [(literal, start, end)]) of each assignment; names that hold literals by then are replaced by them."""
+    """(name, values) of each assignment; names that hold values by then stand for them."""
     held: dict = {}
+    tags = TAG.finditer(text) if "</" in text else iter(())
+    tag = next(tags, None)
     for pair in PAIR.finditer(text):
-        at, parts = pair.end(), []
-        while True:
-            term = TERM.match(text, at)
-            if term is None:
-                break
-            group = term.lastindex or 0
-            if group == 3 and term[3] in held:
-                parts += held[term[3]]
-            elif group:
-                parts.append((term[group], term.start(group), term.end(group)))
-            at = term.end()
-            plus = PLUS.match(text, at)
-            if plus is None or len(parts) > 64:
-                break
-            at = plus.end()
-        if parts:
-            held[pair[1]] = parts
-            yield pair[1], parts
+        while tag is not None and tag.start() < pair.start():
+            yield tag[1], _stripped(tag[2], tag.start(2))
+            tag = next(tags, None)
+        block = BLOCK.match(text, pair.end())
+        values = _stripped(block[1], block.start(1)) if block else _values(text, pair.end(), held)
+        if values:
+            held[pair[1]] = values
+            yield pair[1], values
+    for tag in [tag, *tags] if tag is not None else ():
+        yield tag[1], _stripped(tag[2], tag.start(2))
 
 
 def literals(text: str, least: float = LEAST) -> dict:
     """(start, end) of each literal that reaches a sensitive name, with its best score."""
-    found: dict = {}
-    for name, parts in lex(text):
+    hits = []
+    for name, values in lex(text):
         weight = sensitivity(name)
         if weight:
-            score = weight * strength("".join(value for value, _, _ in parts))
-            if score >= least:
-                for value, start, end in parts:
-                    if end > start:
-                        found[(start, end)] = max(score, found.get((start, end), 0.0))
+            hits += [(score, value) for value in values if (score := weight * value.strength()) >= least]
+    found, seen = {}, set()
+    # From the best score on; every value is followed once. All are held by `hits` while their ids count.
+    for score, top in sorted(hits, key=lambda h: -h[0]):
+        open_ = [top]
+        while open_:
+            value = open_.pop()
+            if id(value) not in seen:
+                seen.add(id(value))
+                open_ += value.parts
+                if value.span and value.span[1] > value.span[0]:
+                    found.setdefault(value.span, score)
     return found
 
 
@@ -112,7 +198,7 @@ def _joined(spans) -> str:
 
 
 def scan(docs: DataFrame, id_col="doc_id", text_col="text", least=LEAST) -> DataFrame:
-    """id, n_assign, n_access, n_hex, n_literal, best_score, base_sha256 and spans of every whole text."""
+    """id, n_assign, n_access, n_hex, base_sha256, spans, n_literal and best_score of every whole text."""
     settle(docs.sparkSession)
 
     def run(batches):
@@ -120,16 +206,16 @@ def scan(docs: DataFrame, id_col="doc_id", text_col="text", least=LEAST) -> Data
             out = []
             for text in batch.column(1).to_pylist():
                 base = base_spans(text)
-                named = literals(text, least) if "=" in text or ":" in text else {}
+                named = literals(text, least) if "=" in text or ":" in text or "</" in text else {}
                 spans = sorted(base + [(start, 3, end) for start, end in named])
                 counts = Counter(kind for _, kind, _ in base)
-                out.append((counts[0], counts[1], counts[2], len(named), max(named.values(), default=0.0),
-                            hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans)))
+                out.append((counts[0], counts[1], counts[2], hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans),
+                            len(named), max(named.values(), default=0.0)))
             columns = list(zip(*out)) if out else [[]] * 7
-            kinds = [pa.int64()] * 4 + [pa.float64(), pa.string(), pa.string()]
+            kinds = [pa.int64()] * 3 + [pa.string(), pa.string(), pa.int64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))],
-                                             names=["id", "n_assign", "n_access", "n_hex", "n_literal", "best_score", "base_sha256", "spans"])
+                                             names=["id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_literal", "best_score"])
 
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("body"))
-    schema = "id long, n_assign long, n_access long, n_hex long, n_literal long, best_score double, base_sha256 string, spans string"
+    schema = "id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_literal long, best_score double"
     return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)

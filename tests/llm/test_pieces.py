@@ -144,3 +144,7 @@ def test_language_edge_cases(spark, pieces):
     unlabelled = docs.select("doc_id", "text", docs["lang"].substr(1, 0).alias("lang")).filter("doc_id > 100").replace("", None, ["lang"])
     assert {(r.lang_pred, r.score) for r in language_id.identify(unlabelled, pieces).collect()} == {("und", 0.0)}
     assert language_id.identify(docs.limit(0), pieces).count() == 0
+
+
+def test_letters_are_letters():
+    assert [language_id.has_letter(t) for t in ("½ ² ①", "Ⅷ", "12_3 !", "", "é", "½a", "中", "ª")] == [False, False, False, False, True, True, True, True]

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import duckdb
 
@@ -37,6 +38,7 @@ def test_base_spans(spark):
         assert [r.n_assign, r.n_access, r.n_hex] == counts
         assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
         assert [s for s in r.spans.split(",") if s and not s.startswith("literal")] == [s for s in joined.split(",") if s]
+    assert list(found[0].asDict()) == ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_literal", "best_score"]
     assert sum(found[k].n_hex for k in found) >= 3 and secret_scan.scan(docs.limit(0)).count() == 0
 
 
@@ -66,6 +68,48 @@ def test_constants_are_propagated():
     assert secret_scan.sensitivity("DB_PASSWORD") == secret_scan.sensitivity("dbPassword") == 1.0 and secret_scan.sensitivity("monkey") == 0.0
 
 
+Q = "q8Zr71LmX0pA"
+SYNTAX = [
+    'config["password"] = "%s"', "os.environ['SECRET_KEY'] = '%s'", 'secret = b"%s"', 'auth_token=f"%s"', 'const password: string = "%s"', 'secret = ("%s")',
+    "password = `%s`", 'private_key = """%s"""', "secret = '''%s'''", "signing_key: |\n  %s\nother: 1", "<password>%s</password>", '<dbx><api_key a="b"> %s </api_key>',
+    'let apiKey: Option<str> = "%s"', "token: str='%s'", "secret = [\n  '%s',\n]", "passwords = {}\npassword =\t'%s'",
+]
+
+
+def test_syntax():
+    for line in SYNTAX:
+        assert literal_texts(line % Q) == [Q], line
+        assert literal_texts("x = 1\n" + line % "title" + "\n") == [], line
+    assert literal_texts('password = ["q8Zr71LmX0pA", "k2Jd93mQz7", "short"]') == ["q8Zr71LmX0pA", "k2Jd93mQz7"]
+    assert literal_texts('secret = "q8Zr7" "1LmX0pA"') == ["q8Zr7", "1LmX0pA"]
+    assert literal_texts('password = "q8Z\\"r71LmX0pA"') == ['q8Z\\"r71LmX0pA']
+    assert literal_texts('secret = get_secret_value("path/to/the/vault")') == []
+    assert literal_texts("signing_key: |\n  q8Zr71LmX0pA\n  k2Jd93mQz7\nother: 1") == ["q8Zr71LmX0pA\n  k2Jd93mQz7"]
+    assert literal_texts("keys = ['q8Zr71LmX0pA', 'k2Jd93mQz7']\nsecret = keys") == ["q8Zr71LmX0pA", "k2Jd93mQz7"]
+
+
+def test_sums_have_no_cap():
+    parts = [f"p{k}x" for k in range(300)]
+    assert literal_texts("secret = " + " + ".join(f'"{x}"' for x in parts)) == parts
+    chain = 'a0 = "q8Zr71"\n' + "".join(f'a{k} = a{k - 1} + "{x}"\n' for k, x in enumerate(parts, 1)) + f"secret = a{len(parts)}"
+    assert literal_texts(chain) == ["q8Zr71", *parts]
+    # Doubling names a value of astronomic length and costs what is written.
+    assert literal_texts('a0 = "q8Zr71"\n' + "".join(f"a{k} = a{k - 1} + a{k - 1}\n" for k in range(1, 200)) + "secret = a199") == ["q8Zr71"]
+
+
+def test_the_best_name_counts():
+    found = secret_scan.literals('x = "q8Zr71LmX0pA"\nsalt = x\npassword = x\n')
+    assert list(found.values()) == list(secret_scan.literals('password = "q8Zr71LmX0pA"').values())
+
+
+def test_unclosed_and_long():
+    for text in ('secret = "' + "a" * 200_000, "secret = (" * 20_000, "a: b " * 50_000, "<a>" * 20_000, "secret = '''" + "x'" * 50_000,
+                 "password: |\n" + " x\n" * 50_000, 'k = "\\' * 50_000, "a = [" * 3_000, "a:b" * 50_000):
+        began = time.time()
+        secret_scan.literals(text)
+        assert time.time() - began < 5, text[:20]
+
+
 def licenses(spark, rows, **settings):
     docs = settle(spark).createDataFrame([(i, t, "x", 0) for i, t in rows], "doc_id long, text string, license string, at int")
     return sorted(((r.doc_id, r.license, round(r.containment, 6), r.first_word) for r in license_scan.scan(docs, **settings).collect()), key=str)
