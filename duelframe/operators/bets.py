@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import _c
-from ..session import HOT_ROWS
+from ..session import HOT_ROWS, materialize
 from .careers import Run, with_running
 
 
@@ -49,7 +49,10 @@ def period_returns(df: DataFrame, period) -> DataFrame:
 
 
 def equity_curve(df: DataFrame, period, r="ret", start=1.0, hot_rows=HOT_ROWS) -> DataFrame:
-    """Running product of 1 + return; periods may be as many as contests, hence the chunked running sum."""
+    """Running product of 1 + return; periods may be as many as contests, hence the chunked running sum.
+
+    The periods are written first, as they are counted and then run through."""
+    df = materialize(df, "periods")
     growth = 1 + _c(r)
     ran = with_running(
         df.withColumn("_log", F.ln(F.when(growth > 0, growth))).withColumn("_bust", (growth <= 0).cast("int")),
@@ -60,7 +63,7 @@ def equity_curve(df: DataFrame, period, r="ret", start=1.0, hot_rows=HOT_ROWS) -
 
 def growth_stats(df: DataFrame, period, value="portfolio", hot_rows=HOT_ROWS) -> DataFrame:
     """One row: geometric mean growth, standard deviation and t-statistic of log returns between periods."""
-    per = df.groupBy(period).agg(F.max(value).alias("_v"))
+    per = materialize(df.groupBy(period).agg(F.max(value).alias("_v")), "periods")
     ran = with_running(per.withColumn("_l", F.ln(F.when(F.col("_v") > 0, F.col("_v")))), [], period, {"_p": Run("lag", "_l")}, hot_rows)
     d = F.col("_l") - F.col("_p")
     return ran.select(d.alias("x")).agg(
