@@ -23,14 +23,16 @@ def period_stakes(df: DataFrame, period, cap=1.0) -> DataFrame:
     """Kelly shares split over the positive bets of the period and capped.
 
     `both_sides` flags rows that back both entities, `over_bankroll` periods whose stakes reach the bankroll.
-    The totals are aggregated per period and joined back, so a period of any size stays distributed.
+    The totals are aggregated per period and joined back, so a period of any size stays distributed. Totals by date are
+    broadcast, as there are at most as many as days in the calendar: the rows stay where they are.
     """
-    totals = df.groupBy(period).agg(
-        F.sum((F.col("kelly_side") > 0).cast("int") + (F.col("kelly_opp") > 0).cast("int")).alias("n_bets"))
+    small = F.broadcast if dict(df.dtypes)[period] == "date" else lambda totals: totals
+    totals = small(df.groupBy(period).agg(
+        F.sum((F.col("kelly_side") > 0).cast("int") + (F.col("kelly_opp") > 0).cast("int")).alias("n_bets")))
     staked = df.join(totals, period, "left").withColumns({
         f"stake_{s}": F.when(F.col("n_bets") > 0, F.least(F.lit(float(cap)), F.col(f"kelly_{s}") / F.col("n_bets"))).otherwise(0.0)
         for s in ("side", "opp")})
-    over = staked.groupBy(period).agg((F.sum(F.col("stake_side") + F.col("stake_opp")) >= 1).alias("over_bankroll"))
+    over = small(staked.groupBy(period).agg((F.sum(F.col("stake_side") + F.col("stake_opp")) >= 1).alias("over_bankroll")))
     return staked.withColumn("both_sides", (F.col("kelly_side") > 0) & (F.col("kelly_opp") > 0)).join(over, period, "left")
 
 

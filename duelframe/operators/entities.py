@@ -211,6 +211,22 @@ def contest_map(aux: DataFrame, canon: DataFrame, suffixes=("_aux", "_canon"), m
     return pairs.select(*[c + s_aux for c in ids], *[c + s_canon for c in ids])
 
 
+def snapshot_map(snapshots: DataFrame, canon: DataFrame, tol_days=1, suffixes=("_snapshots", "_canon"), keys: Keys = Keys(), **options) -> DataFrame:
+    """Contest map of price snapshots, whose start times may fall `tol_days` beside the contest's date.
+
+    Every snapshot is offered on each day around its own; the contest of that very day claims it. The snapshot's own date
+    is kept as `<date><suffix>_orig`. A snapshot near two contests of its pair is mapped to both, as in `tolerant_date_join`.
+    """
+    own = keys.date + "_orig"
+    days = F.sequence(F.date_sub(keys.date, tol_days), F.date_add(keys.date, tol_days))
+    rows = snapshots.na.drop(how="any", subset=[keys.side, keys.opp, keys.date])
+    spread = materialize(rows.withColumn(own, F.col(keys.date)).withColumn(keys.date, F.explode(days)), "snapshots")
+    found = contest_map(spread.drop(own).distinct(), canon, suffixes=suffixes, keys=keys, **options)
+    ids = [c + suffixes[0] for c in (keys.side, keys.opp, keys.date)]
+    dates = spread.select(keys.side, keys.opp, keys.date, own).distinct().toDF(*ids, own.replace("_orig", "") + suffixes[0] + "_orig")
+    return found.distinct().join(dates, ids)
+
+
 def split_key_pairs(config: dict) -> dict:
     """Named presets of `contest_map` -> keyword arguments, unknown names refused."""
     allowed = {"suffixes", "merge_canon", "manual", "id_tol", "join_tol", "include_multi", "max_iters", "keys", "check"}

@@ -29,14 +29,25 @@ def _same(left_cols, right_cols, null_safe=False):
 NULL_SPREAD = 512
 
 
-def left_lookup(df: DataFrame, right: DataFrame, left_cols, right_cols, null_safe=False, spread_nulls=False) -> DataFrame:
+def _within(a, b):
+    """Equality that Spark does not take for a join key."""
+    return (F.col(a) <= F.col(b)) & (F.col(a) >= F.col(b))
+
+
+def left_lookup(df: DataFrame, right: DataFrame, left_cols, right_cols, null_safe=False, spread_nulls=False, bucket=None) -> DataFrame:
     """Left join that adds the other columns of `right`; `right` has one row per key.
 
     `spread_nulls` is for keys that are null on many rows: those rows match nothing, so they are sent to many
-    tasks instead of one.
+    tasks instead of one. `bucket` names the left key column by which both tables are bucketed: they are joined where
+    they lie, the other keys compared within the few rows of one bucket value. Spark would move both for all keys.
     """
     renamed = right.select(*[F.col(c).alias(f"_r{right_cols.index(c)}" if c in right_cols else c) for c in right.columns])
     keys = [f"_r{i}" for i in range(len(right_cols))]
+    if bucket is not None:
+        if null_safe or spread_nulls:
+            raise ValueError("bucketed lookups match no nulls")
+        on = [F.col(a) == F.col(b) if a == bucket else _within(a, b) for a, b in zip(left_cols, keys)]
+        return df.join(renamed, on, "left").drop(*keys)
     if not spread_nulls:
         return df.join(renamed, _same(left_cols, keys, null_safe), "left").drop(*keys)
     missing = reduce(lambda x, y: x | y, [F.col(c).isNull() for c in left_cols])
@@ -52,12 +63,12 @@ def double_contests(df: DataFrame, keys: Keys, pairs: dict, outcome=None) -> Dat
     return both_orientations(dedupe_by_key(df, [keys.contest], [keys.side, keys.opp]), pairs, outcome)
 
 
-def attach_both_sides(df: DataFrame, right: DataFrame, on, keys: Keys = Keys(), suffix="_opp", null_safe=False) -> DataFrame:
-    """Attach a per-(on, entity) table to the side and, with a suffix, to the opponent."""
+def attach_both_sides(df: DataFrame, right: DataFrame, on, keys: Keys = Keys(), suffix="_opp", null_safe=False, bucket=None) -> DataFrame:
+    """Attach a per-(on, entity) table to the side and, with a suffix, to the opponent; for `bucket` see `left_lookup`."""
     on = [on] if isinstance(on, str) else list(on)
     key_cols = [*on, keys.side]
-    out = left_lookup(df, right, key_cols, key_cols, null_safe)
-    return left_lookup(out, with_suffix(right, suffix, key_cols), [*on, keys.opp], key_cols, null_safe)
+    out = left_lookup(df, right, key_cols, key_cols, null_safe, bucket=bucket)
+    return left_lookup(out, with_suffix(right, suffix, key_cols), [*on, keys.opp], key_cols, null_safe, bucket=bucket)
 
 
 def three_source_join(canon: DataFrame, sources, upcoming: DataFrame = None, keys: Keys = Keys()) -> DataFrame:
@@ -227,11 +238,13 @@ def close_line_join(df: DataFrame, close: DataFrame, on) -> DataFrame:
     return df.join(close, list(on), "left")
 
 
-def feature_join(df: DataFrame, feats: DataFrame, keys: Keys = Keys()) -> DataFrame:
-    """Left join of features by row key; a feature named like a column of `df` is refused."""
+def feature_join(df: DataFrame, feats: DataFrame, keys: Keys = Keys(), bucket=None) -> DataFrame:
+    """Left join of features by row key; a feature named like a column of `df` is refused. For `bucket` see `left_lookup`."""
     clash = sorted(set(feats.columns) & set(df.columns) - set(keys.row))
     if clash:
         raise ValueError(f"columns {clash} are on both sides")
+    if bucket is not None:
+        return left_lookup(df, feats, keys.row, keys.row, bucket=bucket)
     return df.join(feats, keys.row, "left")
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..operators.bets import period_stakes, with_kelly
 from ..operators.careers import career_table
 from ..operators.joins import attach_both_sides
-from ..session import materialize
+from ..session import bucketed
 from .standin import K, day, priced, rd
 
 FEATURES = ["n_career", "n_flagged", "days_since_first", "days_since_prev", "total_duration", "min_cls", "max_cls", "prev_cls"]
@@ -14,11 +14,12 @@ FEATURES = ["n_career", "n_flagged", "days_since_first", "days_since_prev", "tot
 def career_edges(spark, sf_dir):
     base = priced(spark, sf_dir).withColumns({
         "is_flagged": F.col("flag") == "R", "weight": F.substring("cls", 1, 1).cast("int"), "seconds": F.col("side_q")})
-    base = materialize(base, "contests")  # the joined contest table is read three times from here on
-    careers = materialize(career_table(base, K, flag="is_flagged", duration="seconds", cls="weight"), "careers")
+    # Both tables lie in buckets of the contest, so neither stakes nor careers of both sides move a row when joined.
+    base = bucketed(base, "contest", "contests")
+    careers = bucketed(career_table(base, K, flag="is_flagged", duration="seconds", cls="weight"), "contest", "careers")
     # Stakes first: their per-day totals then read the contests alone, not the joined careers.
     staked = period_stakes(with_kelly(base), "d", cap=0.25)
-    both = attach_both_sides(staked, careers, "contest", K)
+    both = attach_both_sides(staked, careers, "contest", K, bucket="contest")
     return both.select(
         "contest", day("d").alias("d"), "side", "opp", "n_career", "n_career_opp", "n_flagged", "days_since_first",
         "days_since_prev", "days_since_prev_opp", rd("total_duration", 2).alias("total_duration"),

@@ -3,9 +3,8 @@
 from pyspark.sql import functions as F
 
 from ..operators import joins
-
-
 from ..operators.sets import union_all_by_name
+from ..session import bucketed
 from .registry import query, r
 from .standin import K, PAIRS, contests, day, dbl_sql, priced, priced_sql, raw_contests, raw_sql, rd, table
 
@@ -20,9 +19,9 @@ def j1(spark, sf):
 SELECT raw.contest, raw.side, raw.opp, a.best, a.n, b.best AS best_opp, b.n AS n_opp FROM raw
 LEFT JOIN st a ON raw.contest = a.contest AND raw.side = a.side LEFT JOIN st b ON raw.contest = b.contest AND raw.opp = b.side"""))
 def j2(spark, sf):
-    df = raw_contests(spark, sf).select("contest", "side", "opp", "side_v")
+    df = bucketed(raw_contests(spark, sf).select("contest", "side", "opp", "side_v"), "contest", "meetings")
     stats = df.groupBy("contest", "side").agg(F.max("side_v").alias("best"), F.count(F.lit(1)).alias("n"))
-    return joins.attach_both_sides(df.drop("side_v"), stats, "contest", K)
+    return joins.attach_both_sides(df.drop("side_v"), stats, "contest", K, bucket="contest")
 
 
 _ALIAS = "'a' || CAST((CAST(side AS BIGINT) * 7919) % 100003 AS VARCHAR)"
@@ -177,8 +176,9 @@ def j14(spark, sf):
 
 @query("J15_feature_join", priced_sql(f"SELECT contest, side, opp, res, {r('y_pred')} AS y_pred FROM priced"))
 def j15(spark, sf):
-    feats = priced(spark, sf).select("contest", "side", "opp", rd("y_pred").alias("y_pred"))
-    return joins.feature_join(contests(spark, sf).select("contest", "side", "opp", "res"), feats, K)
+    feats = bucketed(priced(spark, sf).select("contest", "side", "opp", rd("y_pred").alias("y_pred")), "contest", "features")
+    rows = bucketed(contests(spark, sf).select("contest", "side", "opp", "res"), "contest", "contests")
+    return joins.feature_join(rows, feats, K, bucket="contest")
 
 
 @query("J16_multi_table_inner", dbl_sql("""SELECT contest, side, opp, event, res, side_v, side_q, opp_v FROM dbl WHERE flag <> 'N' AND method = 'F'"""))

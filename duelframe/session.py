@@ -20,6 +20,8 @@ RUNTIME_CONF = {
 BROADCAST_ROWS = 2_000_000
 # A key with more rows than this is handled in pieces, never as one group in one task.
 HOT_ROWS = 5_000_000
+# Names of bucketed tables in the session's catalog; their files lie in the shared folder.
+BUCKETED = "duelframe_bucketed_"
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -46,8 +48,24 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/duelframe-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+def bucketed(df: DataFrame, by: str, label: str, buckets: int | None = None) -> DataFrame:
+    """Write `df` to the shared folder in buckets of `by`, each sorted and one file, and read it back.
+
+    Joins and aggregates of such tables whose keys contain `by` move no rows, given the same number of buckets: the
+    session's shuffle partitions if none is named. For keys with few rows each, as all rows of a key are in one bucket.
+    """
+    spark = df.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"{BUCKETED}{label}_{uuid.uuid4().hex[:12]}"
+    writer = df.repartition(buckets, by).write.mode("errorifexists").format("parquet").option("path", new_path(spark, label))
+    writer.bucketBy(buckets, by).sortBy(by).saveAsTable(name)
+    return spark.table(name)
+
+
 def release(spark: SparkSession) -> None:
     """Delete every table this application wrote to the shared folder; frames that read them are of no use after it."""
+    for found in spark.catalog.listTables(pattern=f"{BUCKETED}*"):
+        spark.sql(f"DROP TABLE IF EXISTS {found.name}")
     folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/duelframe-{spark.sparkContext.applicationId}")
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
