@@ -38,11 +38,33 @@ def test_exact_chains_and_directory(spark):
     index = exact_dedup.build_index(docs(spark, ROWS), bits=6, bucket_rows=3)
     entries = index.entries.collect()
     assert max(e.chain for e in entries) > 0 and len({(e.key, e.chain) for e in entries}) == len(entries)
-    directory = {(r.prefix, r.depth): r["keys"] for r in index.directory.collect()}
+    slots = index.directory.collect()
+    directory = {(r.prefix, r.depth): r["keys"] for r in slots}
+    deepest = max(depth for _, depth in directory)
+    assert len({r.slot for r in slots}) == len(slots) and all(r.slot >> (deepest - r.depth) == r.prefix for r in slots)
+    assert {r.slot for r in index.keys.collect()} <= {r.slot for r in slots}
     assert all(n <= 3 or depth == 6 for (_, depth), n in directory.items())
     assert all((e.bucket, e.depth) in directory and e.key >> (6 - e.depth) == e.bucket for e in entries)
 
 
+def test_exact_owners_share_a_crowded_stretch_of_keys(spark):
+    """Nine tenths of the keys lie in a 256th of their range: their buckets split until owners hold about as many keys."""
+    crowded = [k * 3 for k in range(9000)] + [(1 << 24) + k * ((1 << 32) // 1000) for k in range(1000)]
+    keys = settle(spark).createDataFrame([(k,) for k in crowded], "key long").repartition(4)
+    directory = exact_dedup.grow_directory(keys, 33, 50)
+    assert max(r["keys"] for r in directory.buckets.collect()) <= 50 and directory.depth > 15
+    first = directory.owners(8)
+    held = np.bincount(np.searchsorted(first, crowded, side="right") - 1)
+    assert len(first) == 8 and held.min() > 0 and held.max() < 2 * len(crowded) / 8
+
+
+def test_exact_a_text_outside_the_directory_raises():
+    columns = {"key": [0, 5, 40], "chain": [-1, 0, 0], "bucket": [0, 0, 0], "depth": [2, 0, 0]}
+    batch = pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in columns.values()], list(columns))
+    with pytest.raises(RuntimeError):
+        list(exact_dedup._placed([batch], 6))
+
+
 def test_exact_keep_one(spark):
     kept = exact_dedup.keep_one(docs(spark, ROWS))
     assert kept.columns == ["doc_id", "text", "source", "key", "id", "body", "row"]
