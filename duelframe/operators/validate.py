@@ -29,7 +29,8 @@ def time_folds(df: DataFrame, date, n_splits=4, dates_per_fold=None, min_date=No
 
 
 def walk_forward(model, df: DataFrame, date, contest="contest", n_splits=4, dates_per_fold=None, min_date=None) -> DataFrame:
-    """Each fold is predicted by a model of everything before it; one row per contest is kept."""
+    """Each fold is predicted by a model of everything before it; one row per contest is kept. A row without a prediction
+    raises while the predictions are written."""
     model = model_protocol(model)
     tagged = materialize(time_folds(df, date, n_splits, dates_per_fold, min_date), "folds")
     starts = tagged.where("fold is not null").groupBy("fold").agg(F.min(date).alias("start")).orderBy("fold").collect()
@@ -40,7 +41,8 @@ def walk_forward(model, df: DataFrame, date, contest="contest", n_splits=4, date
             continue  # nothing earlier to learn from
         train = tagged.where(F.col(date) < F.lit(row["start"]))
         test = tagged.where(F.col("fold") == row["fold"])
-        part = materialize(model.fit_predict(train, test), "pred")
+        predicted = F.when(F.col("y_pred").isNull(), F.raise_error(F.lit("a model gave a null prediction")).cast("double")).otherwise(F.col("y_pred"))
+        part = materialize(model.fit_predict(train, test).withColumn("y_pred", predicted), "pred")
         parts = part if parts is None else parts.unionByName(part)
     if parts is None:
         return tagged.withColumn("y_pred", F.lit(None).cast("double")).where("false")

@@ -128,3 +128,16 @@ def test_blank_names_agree_with_nothing(spark):
     aux = [(day, f"a{i}", f"p{i}", None, " ") for i in range(4)]
     edges = [E.contest_edges(spark.createDataFrame(rows, SCHEMA)) for rows in (canon, aux)]
     assert E.seed_map(*edges).isEmpty()
+
+
+def test_snapshots_a_day_off(spark):
+    """A snapshot on the day before or after is mapped to its contest, with its own date kept; two days off, to none."""
+    day = lambda n: dt.date(2020, 1, n)
+    rows = "d date, side string, opp string, side_name string, opp_name string"
+    both = lambda d, a, b: [(d, a, b, f"n{a[1:]}", f"n{b[1:]}"), (d, b, a, f"n{b[1:]}", f"n{a[1:]}")]
+    canon = spark.createDataFrame(both(day(10), "c1", "c2") + both(day(20), "c1", "c3") + both(day(25), "c2", "c3"), rows)
+    snaps = spark.createDataFrame(both(day(9), "s1", "s2") + both(day(21), "s1", "s3") + both(day(27), "s2", "s3") + both(day(20), "s1", "s3") + [(None, "s1", "s2", "n1", "n2")], rows)
+    found = E.snapshot_map(snaps, canon, suffixes=("_snap", "_canon"))
+    got = {(r.side_snap, r.opp_snap, r.d_snap.day, r.d_snap_orig.day, r.side_canon, r.opp_canon, r.d_canon.day) for r in found.collect()}
+    ways = lambda a, b, d, own: {(f"s{x}", f"s{y}", d, own, f"c{x}", f"c{y}", d) for x, y in ((a, b), (b, a))}
+    assert got == ways(1, 2, 10, 9) | ways(1, 3, 20, 21) | ways(1, 3, 20, 20)

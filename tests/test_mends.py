@@ -88,3 +88,13 @@ def test_a_half_done_swap_loses_nothing(spark, step):
     assert rows_of(spark, path) == [(i, "old") for i in range(5)] + [(9, "new")] and not fs.exists(old)
     tables.upsert(spark.createDataFrame([(0, "newer")], "k int, v string"), path, ["k"])
     assert rows_of(spark, path)[0] == (0, "newer") and len(rows_of(spark, path)) == 6
+
+
+def test_a_null_prediction_raises(spark):
+    rows = [(f"c{k}", dt.date(2020, 1, 1 + k), 0.5 if k != 5 else None) for k in range(8)]
+    df = spark.createDataFrame(rows, "contest string, d date, p double")
+    model = lambda train, test: test.withColumn("y_pred", test.p)
+    with pytest.raises(Exception, match="a model gave a null prediction"):
+        validate.walk_forward(model, df, "d", n_splits=2)
+    kept = validate.walk_forward(model, df.na.fill(0.25), "d", n_splits=2).collect()
+    assert kept and all(r.y_pred is not None for r in kept)
