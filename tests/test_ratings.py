@@ -94,6 +94,38 @@ def test_sparse_contests_take_few_rounds(spark, monkeypatch, capsys):
     assert set(state) == set(power) and all(abs(state[e] - power[e]) < 1e-9 for e in power if not e.startswith("g0-"))
 
 
+@pytest.mark.parametrize("values", [4_000_000, 300, 20])
+def test_wide_grids_are_kept_by_entity_and_period(spark, monkeypatch, values):
+    """Nine steps: one window, windows of few dates, split dates; what is written has no contest in it."""
+    monkeypatch.setattr(R, "WINDOW_VALUES", values)
+    written = []
+    kept = R.materialize
+    monkeypatch.setattr(R, "materialize", lambda df, label, *a: written.append((label, df.columns)) or kept(df, label, *a))
+    rows, steps = table(), [k / 10 for k in range(1, 10)]
+    result = R.rating_real(spark.createDataFrame(rows + [("n", None, "a", dt.date(2020, 1, 2), None, None, 0.0, 1.0, 2.0)], SCHEMA), K, ["y"], steps)
+    got = {(r.contest, r.side, r.cell): r for r in result.features.collect()}
+    assert len(got) == 9 * (len(rows) + 1)
+    history = {(r.cell, r.period, r.entity): (r.before, r.after) for r in result.history.collect()}
+    for step in (0.1, 0.4, 0.9):
+        want, power = loop(rows, lambda r: r[0], lambda a, b, o: a - b, step)
+        for (c, s), w in want.items():
+            r = got[c, s, f"y@{step}"]
+            assert max(abs(a - b) for a, b in zip([r.pred, r.side_before, r.opp_before, r.side_after, r.opp_after], w)) < 1e-9
+            d = next(str(x[3]) for x in rows if x[0] == c)
+            assert max(abs(a - b) for a, b in zip(history[f"y@{step}", d, s], (w[1], w[3]))) < 1e-9
+        state = {r.entity: r.rating for r in result.state.where(F.col("cell") == f"y@{step}").collect()}
+        assert set(state) == set(power) and all(abs(state[e] - power[e]) < 1e-9 for e in power)
+    assert not any(label == "rated" for label, _ in written)
+
+
+def test_wide_accuracy_equals_narrow(spark):
+    df = spark.createDataFrame(table(), SCHEMA)
+    steps = [k / 100 for k in range(1, 10)]
+    wide = {(r.contest, r.side): r.p_hat for r in R.rating_accuracy(df, K, {"q": ("l", "t")}, steps).features.where("cell = 'q@0.05'").collect()}
+    narrow = {(r.contest, r.side): r.p_hat for r in R.rating_accuracy(df, K, {"q": ("l", "t")}, 0.05).features.collect()}
+    assert set(wide) == set(narrow) and all(abs(wide[k] - narrow[k]) < 1e-12 for k in wide)
+
+
 def test_nothing_to_rate(spark):
     result = R.rating_real(spark.createDataFrame([], SCHEMA), K, ["y"], 0.4)
     assert result.features.count() == result.state.count() == result.history.count() == 0
