@@ -26,10 +26,14 @@ MODEL = "piece_bpe_32k.model"
 
 
 class Encoder:
+    """Solved chunks in two generations: when the newer one is full it becomes the older one, and what is used again moves
+    back, so that common chunks stay. Ids (as bytes) and scores are plain values, which the garbage collector passes by."""
+
     def __init__(self, pieces: Pieces, limit: int = 60_000):
         self.pieces, self.limit = pieces, limit
         self.chunks = re.compile(pieces.chunk_pattern)
-        self.known: dict = {}
+        self.known, self.scores = {}, {}
+        self.older: tuple = ({}, {})
 
     def _learn(self, new: list):
         """Solve new chunks in groups of bounded length."""
@@ -40,27 +44,25 @@ class Encoder:
                 size += len(new[stop])
                 stop += 1
             ids, offsets, scores = self.pieces.lattice(new[at:stop]).best()
-            flat, offsets = ids.astype(np.int32).tobytes(), offsets.tolist()
-            for k, chunk in enumerate(new[at:stop]):
-                self.known[chunk] = (array("i", flat[4 * offsets[k]:4 * offsets[k + 1]]), float(scores[k]))
+            flat, offsets = ids.astype(np.int32).tobytes(), (4 * offsets).tolist()
+            group = new[at:stop]
+            self.known.update(zip(group, [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:])]))
+            self.scores.update(zip(group, scores.tolist()))
             at = stop
 
     def encode(self, texts: list) -> list:
         """(array of ids, score) for each text."""
         cut = [self.chunks.findall(marked(t)) for t in texts]
         if len(self.known) > self.limit:
-            self.known = {}
-        wanted = set().union(*cut) if cut else set()
-        self._learn(sorted(wanted.difference(self.known), key=lambda c: (len(c), c)))
-        out, known = [], self.known
-        for chunks in cut:
-            ids, score = array("i"), 0.0
-            for chunk in chunks:
-                found = known[chunk]
-                ids.extend(found[0])
-                score += found[1]
-            out.append((ids, score))
-        return out
+            self.older, self.known, self.scores = (self.known, self.scores), {}, {}
+        wanted = set().union(*cut).difference(self.known) if cut else set()
+        ids, scores = self.older
+        again = wanted.intersection(ids)
+        self.known.update(zip(again, map(ids.__getitem__, again)))
+        self.scores.update(zip(again, map(scores.__getitem__, again)))
+        self._learn(sorted(wanted.difference(again), key=len))
+        ids, scores = self.known.__getitem__, self.scores.__getitem__
+        return [(array("i", b"".join(map(ids, chunks))), sum(map(scores, chunks), 0.0)) for chunks in cut]
 
 
 def decode(pieces: Pieces, ids) -> str:

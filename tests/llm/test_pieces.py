@@ -60,6 +60,16 @@ def test_round_trip(pieces):
         assert codec.decode(pieces, ids) == text.replace("▁", " ")
 
 
+def test_common_chunks_are_solved_once_however_small_the_cache(pieces):
+    texts = [f"every row has the same common words and row{k} alone" for k in range(40)]
+    small, solved = codec.Encoder(pieces, limit=12), []
+    learn = small._learn
+    small._learn = lambda new: (solved.extend(new), learn(new))
+    found = [small.encode([t])[0] for t in texts]
+    assert found == codec.Encoder(pieces).encode(texts)
+    assert len(solved) == len(set(solved)) and len(small.known) + len(small.older[0]) < 40
+
+
 def tiny(surfaces, byte=True):
     names = ["<unk>"] + surfaces + ([f"<0x{b:02X}>" for b in range(256)] if byte else [])
     usable = np.array([0 < i <= len(surfaces) for i in range(len(names))])
