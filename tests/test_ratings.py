@@ -183,3 +183,34 @@ def test_components_are_white(spark):
     out = R.pca_components(df, ["a", "b", "c"], 2, "g")
     s = out.agg(F.avg("pc_0"), F.var_samp("pc_0"), F.var_samp("pc_1"), F.covar_samp("pc_0", "pc_1"), F.count("pc_0")).first()
     assert abs(s[0]) < 1e-9 and abs(s[1] - 1) < 1e-9 and abs(s[2] - 1) < 1e-9 and abs(s[3]) < 1e-9 and s[4] == 199
+
+
+def test_connected_contests_give_their_task_little(spark, monkeypatch):
+    """A dense graph: tasks write entities and periods, few windows look for components, and hardly any is walked twice."""
+    monkeypatch.setattr(R, "WINDOW_VALUES", 200)
+    written, tried = [], []
+    kept, parts = R.materialize, R.connected
+    monkeypatch.setattr(R, "materialize", lambda df, label, *a: written.append((label, df.columns)) or kept(df, label, *a))
+    monkeypatch.setattr(R, "connected", lambda *a: tried.append(1) or parts(*a))
+    rng, rows = random.Random(4), []
+    for i in range(700):
+        a, b = rng.sample([f"e{x}" for x in range(12)], 2)
+        d, y = dt.date(2020, 1, 1) + dt.timedelta(days=i // 7), rng.gauss(0, 1)
+        rows += [(f"k{i}", a, b, d, y, None, 0.0, 1.0, 2.0), (f"k{i}", b, a, d, -y, None, 0.0, 1.0, 2.0)]
+    result = R.rating_real(spark.createDataFrame(rows, SCHEMA), K, ["y"], 0.4)
+    want, power = loop(rows, lambda r: r[0], lambda a, b, o: a - b, 0.4)
+    state = {r.entity: r.rating for r in result.state.collect()}
+    assert all(abs(state[e] - power[e]) < 1e-9 for e in power)
+    assert len(tried) <= 1 + result.windows / R.TRIED and result.windows <= 10
+    assert [columns for label, columns in written if label in ("history", "rated")] == [R.HISTORY] * result.windows
+
+
+def test_equal_loadings_have_one_sign(spark):
+    """Two columns scaled by their deviations load alike but for rounding: the last one is positive."""
+    rng, rows = random.Random(2), []
+    for i in range(200):
+        x = rng.gauss(0, 1)
+        rows.append((str(i), x, -x + rng.gauss(0, 1)))
+    got = R.pca_components(spark.createDataFrame(rows, "contest string, a double, b double"), ["a", "b"], 1).collect()
+    mean = sum(r.b for r in got) / len(got)
+    assert sum(r.pc_0 * (r.b - mean) for r in got) > 0
