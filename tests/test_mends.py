@@ -98,3 +98,19 @@ def test_a_null_prediction_raises(spark):
         validate.walk_forward(model, df, "d", n_splits=2)
     kept = validate.walk_forward(model, df.na.fill(0.25), "d", n_splits=2).collect()
     assert kept and all(r.y_pred is not None for r in kept)
+
+
+def test_few_large_groups_are_not_dealt_by_group(spark):
+    """Deviations of a group meet its rows where they lie, whatever Spark thinks of sizes."""
+    from duelframe.operators.aggs import group_stddev
+
+    rows = [("a", 1.0), ("a", 3.0), ("b", 2.0), (None, 5.0), ("b", None), ("a", 5.0)]
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = group_stddev(spark.createDataFrame(rows, "g string, x double"), ["x"], "g")
+        got = {(r.g, r.x, r.x_scaled) for r in out.collect()}
+        assert "hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert got == {("a", 1.0, 0.5), ("a", 3.0, 1.5), ("a", 5.0, 2.5), ("b", 2.0, None), ("b", None, None), (None, 5.0, None)}
