@@ -141,3 +141,26 @@ def test_snapshots_a_day_off(spark):
     got = {(r.side_snap, r.opp_snap, r.d_snap.day, r.d_snap_orig.day, r.side_canon, r.opp_canon, r.d_canon.day) for r in found.collect()}
     ways = lambda a, b, d, own: {(f"s{x}", f"s{y}", d, own, f"c{x}", f"c{y}", d) for x, y in ((a, b), (b, a))}
     assert got == ways(1, 2, 10, 9) | ways(1, 3, 20, 21) | ways(1, 3, 20, 20)
+
+
+def test_contest_map_reads_its_inputs_once(spark, tmp_path):
+    """Contests are written once; rounds and the last join read them there, whatever it cost to derive them."""
+    canon, aux, _ = world(12)
+    for name, rows in (("canon", canon), ("aux", aux)):
+        spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / name))
+    got = E.contest_map(*[spark.read.parquet(str(tmp_path / name)) for name in ("aux", "canon")], id_tol=1, join_tol=1)
+    assert not [f for f in got.inputFiles() if str(tmp_path) in f]
+    assert got.count()
+
+
+def test_tolerance_offers_few_rows_twice(spark):
+    """Every pair within the tolerance is found once, and rows are offered to hardly more stretches than their own."""
+    from duelframe.operators.joins import offered_stretches, tolerant_date_join
+    days = [dt.date(1969, 12, 1) + dt.timedelta(days=i) for i in range(64)]
+    left = spark.createDataFrame([("k", d) for d in days], "a string, l date")
+    right = spark.createDataFrame([("k", d) for d in days], "b string, r date")
+    for tol in (0, 1, 3):
+        got = sorted((x.l, x.r) for x in tolerant_date_join(left, right, [("a", "b")], "l", "r", tol).collect())
+        assert got == sorted((x, y) for x in days for y in days if abs((x - y).days) <= tol)
+    offers = right.selectExpr("r").withColumn("s", offered_stretches(right.r, 1)).selectExpr("sum(size(s))").first()[0]
+    assert offers <= 1.3 * len(days)
