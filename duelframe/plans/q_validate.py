@@ -124,8 +124,13 @@ def _kelly(spark, sf):
     return B.with_kelly(df)
 
 
+def _staked(spark, sf):
+    kept = _kelly(spark, sf).select("contest", "side", "d", "y", "side_odds", "opp_odds", "kelly_side", "kelly_opp")
+    return B.period_stakes(kept, "d", 0.1)
+
+
 def _settled(spark, sf):
-    return B.settle_bets(B.period_stakes(_kelly(spark, sf), "d", 0.1))
+    return B.settle_bets(_staked(spark, sf))
 
 
 @query("B1_kelly_fraction", priced_sql(", " + _BETS + f"SELECT contest, side, {r('kelly_side')} AS kelly_side, {r('kelly_opp')} AS kelly_opp FROM kf"))
@@ -136,7 +141,7 @@ def b1(spark, sf):
 @query("B2_period_stakes", priced_sql(", " + _BETS + f"""SELECT contest, side, CAST(n_bets AS BIGINT) AS n_bets, {r('stake_side', 8)} AS stake_side, {r('stake_opp', 8)} AS stake_opp,
 CAST(kelly_side > 0 AND kelly_opp > 0 AS INT) AS both_sides, CAST(sum(stake_side + stake_opp) OVER (PARTITION BY d) >= 1 AS INT) AS over_bankroll FROM stk"""))
 def b2(spark, sf):
-    out = B.period_stakes(_kelly(spark, sf), "d", 0.1)
+    out = _staked(spark, sf)
     return out.select("contest", "side", "n_bets", rd("stake_side", 8).alias("stake_side"), rd("stake_opp", 8).alias("stake_opp"),
                       F.col("both_sides").cast("int").alias("both_sides"), F.col("over_bankroll").cast("int").alias("over_bankroll"))
 
@@ -175,7 +180,8 @@ def b6(spark, sf):
 @query("U2_model_protocol")
 def u2(spark, sf):
     model = model_protocol(lambda train, test: M.offset_logit_map(train, test, FEATS, "y", "p_side", 1.0))
-    out = V.walk_forward(model, modelled(spark, sf).select("contest", "d", "side", "opp", "y", "p_side", *FEATS), "d", n_splits=2, min_date="1998-01-01")
+    df = materialize(modelled(spark, sf).select("contest", "d", "side", "opp", "y", "p_side", *FEATS), "modelled")
+    out = V.walk_forward(model, df, "d", n_splits=2, min_date="1998-01-01")
     return out.select("contest", "side", "opp", "fold", rd("y_pred").alias("y_pred"))
 
 
