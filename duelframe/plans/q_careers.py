@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import careers as c
 from ..operators.joins import attach_both_sides
-from ..session import materialize
+from ..session import bucketed
 from .registry import query, r
 from .standin import K, contests, day, entity_rows, dbl_sql, raw_contests, raw_sql, rd, table
 
@@ -64,9 +64,9 @@ def w9(spark, sf):
     df = df.withColumns({"side": hide("side"), "opp": hide("opp"), "is_r": F.col("flag") == "R",
                          "k": F.expr("CASE WHEN cls <> '3-MEDIUM' THEN int(substr(cls, 1, 1)) END"),
                          "dur": F.expr("CASE WHEN flag <> 'N' THEN side_q END")})
-    df = materialize(df.select("contest", "side", "opp", "d", "is_r", "k", "dur"), "contests")  # read by the careers and the join
-    table_ = materialize(c.career_table(df, K, flag="is_r", duration="dur", cls="k"), "careers")  # joined to both sides
-    out = attach_both_sides(df.select("contest", "side", "opp"), table_, "contest", K, null_safe=True)
+    df = bucketed(df.select("contest", "side", "opp", "d", "is_r", "k", "dur"), "contest", "contests")  # read by the careers and the join
+    table_ = bucketed(c.career_table(df, K, flag="is_r", duration="dur", cls="k"), "contest", "careers")  # joined to both sides
+    out = attach_both_sides(df.select("contest", "side", "opp"), table_, "contest", K, null_safe=True, bucket="contest")
     return out.select("contest", "side", "opp", "n_career", "n_flagged", "days_since_first", "days_since_prev",
                       rd("total_duration", 2).alias("total_duration"), "min_cls", "max_cls", "prev_cls", "n_career_opp", "days_since_prev_opp")
 
