@@ -19,15 +19,16 @@ def with_kelly(df: DataFrame, p="y_pred", side_odds="side_odds", opp_odds="opp_o
     return df.withColumns({"kelly_side": kelly_fraction(p, side_odds), "kelly_opp": kelly_fraction(1 - _c(p), opp_odds)})
 
 
-def period_stakes(df: DataFrame, period, cap=1.0) -> DataFrame:
+def period_stakes(df: DataFrame, period, cap=1.0, written=False) -> DataFrame:
     """Kelly shares split over the positive bets of the period and capped.
 
     `both_sides` flags rows that back both entities, `over_bankroll` periods whose stakes reach the bankroll.
     The totals are aggregated per period and joined back, so a period of any size stays distributed. Totals by date are
     broadcast, as there are at most as many as days in the calendar: the rows stay where they are. The rows are written
-    first, as they are read for the number of bets, for the stakes and for the result.
+    first, as they are read for the number of bets, for the stakes and for the result; not if they are read from a table
+    (`written`), whose buckets they keep.
     """
-    df = materialize(df, "stakes")
+    df = df if written else materialize(df, "stakes")
     small = F.broadcast if dict(df.dtypes)[period] == "date" else lambda totals: totals
     totals = small(df.groupBy(period).agg(
         F.sum((F.col("kelly_side") > 0).cast("int") + (F.col("kelly_opp") > 0).cast("int")).alias("n_bets")))

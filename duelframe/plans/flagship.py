@@ -18,7 +18,7 @@ def career_edges(spark, sf_dir):
     base = bucketed(base, "contest", "contests")
     careers = bucketed(career_table(base, K, flag="is_flagged", duration="seconds", cls="weight"), "contest", "careers")
     # Stakes first: their per-day totals then read the contests alone, not the joined careers.
-    staked = period_stakes(with_kelly(base), "d", cap=0.25)
+    staked = period_stakes(with_kelly(base), "d", cap=0.25, written=True)
     both = attach_both_sides(staked, careers, "contest", K, bucket="contest")
     return both.select(
         "contest", day("d").alias("d"), "side", "opp", "n_career", "n_career_opp", "n_flagged", "days_since_first",
