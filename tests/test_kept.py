@@ -72,7 +72,7 @@ def test_snapshots_are_not_spread_to_find_their_dates(spark, monkeypatch):
     there = {label for label, t in written if (p := spark._jvm.org.apache.hadoop.fs.Path(t._written_at)).getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)}
     assert there <= {"snapshots", "mapped", "candidates"}
     snapshots = next(t for label, t in written if label == "snapshots")
-    assert snapshots.count() == len(aux) + 4
+    assert snapshots.count() == len(aux)
     got = found.collect()
     assert found.columns == ["side_s", "opp_s", "d_s", "side_c", "opp_c", "d_c", "d_s_orig"]
     assert len(got) == len(aux) and all(r.d_s == r.d_c and abs((r.d_s_orig - r.d_s).days) <= 1 and r.side_s[1:] == r.side_c[1:] for r in got)
